@@ -73,7 +73,7 @@ def suffix_array(ids: np.ndarray, text: np.ndarray, end: np.ndarray) -> tuple[np
 
 
 def lcp_intervals(order: np.ndarray, lcp: np.ndarray, least: int) -> list[tuple[int, list[int]]]:
-    """The maximal repeated substrings of ``least`` words or more: (length, where it begins), by one pass with a stack."""
+    """The LCP intervals of ``least`` words or more, repeats that no longer one at the same places extends to the right: (length, where it begins)."""
     found, stack = [], []
     for t in range(1, len(order) + 1):
         height, left = (int(lcp[t]) if t < len(order) else 0), t - 1

@@ -169,14 +169,12 @@ def leaf_forest(points: np.ndarray, own: np.ndarray, distance: int, block: int =
     return forest.edges
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, sample: int = 32_768, leaf: int = 256, most_leaves: int = 2048) -> DataFrame:
-    """(doc_id, fingerprint string, component_id) for every row: components of fingerprints within ``distance`` bits.
+def link(every: DataFrame, distance: int = 2, sample: int = 32_768, leaf: int = 256, most_leaves: int = 2048) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of ``every`` (doc_id, fp): its component's least fingerprint and least doc_id.
 
     ``sample`` bounds the fingerprints that the shard tree is fitted on, ``leaf`` is the aim for a leaf's own
     fingerprints; leaves get larger beyond ``most_leaves`` of them and are then searched by their inner tree.
     """
-    spark = docs.sparkSession
-    every = stored(fingerprints(docs, doc_id, text).withColumnRenamed(doc_id, "doc_id"), "fingerprints")
     nodes = stored(every.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     count = nodes.count()
     few = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -195,20 +193,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pd.DataFrame({"a": points[a], "b": points[b]})
 
     edges = nodes.select("fp").mapInPandas(to_leaves, "leaf long, fp long, own boolean").groupBy("leaf").applyInPandas(links, "a long, b long").distinct()
-    joined = connected_components(edges, "a", "b")
-    first = nodes.join(joined.withColumnsRenamed({"node": "fp"}), "fp").groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = joined.join(first, "component").select(F.col("node").alias("fp"), "component_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    out = every.join(named, "fp").select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    return out
+    joined = connected_components(edges, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"})
+    first = nodes.join(joined, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = joined.join(first, "root").select("fp", "root", "component_id")
+    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, fingerprint string, component_id) for every row; ``options`` are those of :func:`link`."""
+    every = stored(fingerprints(docs, doc_id, text).withColumnRenamed(doc_id, "doc_id"), "fingerprints")
+    named = link(every, **options)
+    return every.join(named, "fp").select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the near copies: of each component the row with its least doc_id stays, with all its columns.
+    """``docs`` without the near copies: one row of each component stays, with all its columns.
 
-    Of repeated rows with that doc_id one stays; which of them, if they differ, is the first by text.
+    It is the row with the least doc_id (a null one last), of those the one with the least fingerprint, of equal rows one.
     """
-    found = near_duplicates(docs, doc_id, text, **options)
-    first = found.select("component_id").distinct().withColumnRenamed("component_id", "_keep")
-    kept = docs.join(first, docs[doc_id].eqNullSafe(first["_keep"]), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    every = stored(fingerprints(docs, doc_id, text).withColumnRenamed(doc_id, "doc_id"), "fingerprints")
+    named = link(every, **options)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
+    stay = every.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.fp").alias("_fp"))
+    stay = stored(stay, "representatives")
+    others = [c for c in docs.columns if c != text]
+    told = map_texts(docs, others, text, f"_own long, `{text}` string", lambda texts: [np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64), texts])
+    kept = told.join(stay, (told["_own"] == stay["_fp"]) & told[doc_id].eqNullSafe(stay["_id"]), "left_semi")
+    if not every.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id, "_own"])
+    return kept.select(*docs.columns)
