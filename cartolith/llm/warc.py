@@ -226,7 +226,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = 32
             for page_id, url, payload, refers_to in zip(*(batch.column(i) for i in range(4))):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
-                    out = [system.open_output_stream(f"{base}/{name}"), f"{folder}/{name}", 0, 0]
+                    out = [system.open_output_stream(f"{base}/{name}", compression=None), f"{folder}/{name}", 0, 0]
                 data = gzip.compress(build_record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py()), 6, mtime=0)
                 out[0].write(data)
                 out[2] += 1
@@ -265,8 +265,8 @@ def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 system, name = _file_system(_normal(path))
                 with system.open_input_file(name) as f:
-                    rows, held = [], 0
-                    for x in Salvager(lambda at, k: f.read_at(min(k, max(0, f.size() - at)), at), f.size()):
+                    rows, held, size = [], 0, f.size()
+                    for x in Salvager(lambda at, k: f.read_at(min(k, max(0, size - at)), at), size):
                         if isinstance(x, Gap):
                             row = (path, x.offset, x.length, x.reason) + (None,) * 7
                         else:
