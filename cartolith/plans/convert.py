@@ -284,7 +284,10 @@ def execute(spark: SparkSession, plan: ConversionPlan) -> str:
     tables = tile_table(spark, plan, lay, encoder)
     order = ["level", "plane", "ty", "tx"]
     rows = (r for t in tables for r in t.select(*order, "payload").orderBy(*order).toLocalIterator())
-    write_file(plan.output, lay, ((r["level"], r["plane"], r["ty"], r["tx"], bytes(r["payload"])) for r in rows))
+    total = sum(t.agg(F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))).first()[0] for t in tables)
+    if not big and total > 0xFFFF0000:
+        raise OptionError("output exceeds 4 GiB; use --bigtiff yes")
+    write_file(plan.output, lay, ((r["level"], r["plane"], r["ty"], r["tx"], bytes(r["payload"])) for r in rows), total)
     if norm:
         write_label(label_path(plan.output, cube.path), label_text(plan.output, cube, plan.bands, kind, norm, plan.grid, plan.projection, plan.warped))
     return plan.output

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -444,6 +445,16 @@ def write_cube(path: str, bands: list, kind: str = "float32", base: float = 0.0,
     return path
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one in local mode without such a setting."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
+    if base.startswith("file:") or base.startswith("/"):
+        path = os.path.join(base.removeprefix("file://").removeprefix("file:"), f"demo-{uuid.uuid4().hex}")
+        os.makedirs(path)
+        return path
+    return tempfile.mkdtemp(prefix="cartolith-")
+
+
 def demo_cube(folder: str) -> str:
     """A mapped two-band cube made by a rule."""
     import numpy as np
@@ -461,7 +472,7 @@ def isis_scan(spark, sf_dir):
     from .sources.isis import register
 
     register(spark)
-    pixels = spark.read.format("isis").load(demo_cube(tempfile.mkdtemp())).where("band = 2 and line between 10 and 20")
+    pixels = spark.read.format("isis").load(demo_cube(shared_folder(spark))).where("band = 2 and line between 10 and 20")
     return pixels.groupBy("line").agg(F.count("value").alias("valid"), F.sum("value").alias("total"))
 
 
@@ -469,7 +480,7 @@ def isis_scan(spark, sf_dir):
 def info(spark, sf_dir):
     from .sources.isis import cube_info
 
-    return cube_info(spark, [demo_cube(tempfile.mkdtemp())]).drop("path")
+    return cube_info(spark, [demo_cube(shared_folder(spark))]).drop("path")
 
 
 @query("label_parse")
@@ -486,7 +497,7 @@ def spec_parse(spark, sf_dir):
     from .plans.spec import parse_spec
     from .sources.isis import open_cube
 
-    cube = open_cube(demo_cube(tempfile.mkdtemp()))
+    cube = open_cube(demo_cube(shared_folder(spark)))
     specs = ["sinu", "ortho", "ps:south", "merc:clat=20", "tm", "lcc:par1=10,par2=40", "laea", "geo", "eqc:clat=30", "+proj=stere +lat_0=90 +lat_ts=70"]
     return spark.createDataFrame([(s, parse_spec(s, cube).proj) for s in specs], "spec string, proj string")
 
@@ -497,7 +508,7 @@ def geotiff_write(spark, sf_dir):
     from .plans.convert import execute, plan_conversion
     from .plans.options import Options
 
-    folder = tempfile.mkdtemp()
+    folder = shared_folder(spark)
     plan = plan_conversion(demo_cube(folder), Options(output=folder + "/", proj="sinu", overviews=True, tile=32))
     path = execute(spark, plan)
     return spark.createDataFrame([(plan.grid.w, plan.grid.h, os.path.getsize(path) > 1000)], "w int, h int, written boolean")

@@ -7,7 +7,6 @@ order, then writes the directories and renames the file into place; a failed wri
 from __future__ import annotations
 
 import math
-import os
 import struct
 import zlib
 from collections.abc import Iterable
@@ -17,6 +16,7 @@ import numpy as np
 
 from ..functions.projections import Projection
 from ..raster import Grid, PixelType
+from ..sources.files import published
 
 
 @dataclass(frozen=True)
@@ -220,31 +220,27 @@ def directories(lay: Layout, at: int) -> bytes:
     return out
 
 
-def write_file(path: str, lay: Layout, tiles: Iterable[tuple[int, int, int, int, bytes]]) -> None:
-    """Writes tiles (level, plane, ty, tx, data) in the order they come, then the directories, and renames the file into place."""
+def write_file(path: str, lay: Layout, tiles: Iterable[tuple[int, int, int, int, bytes]], total: int) -> None:
+    """Writes tiles (level, plane, ty, tx, data) of ``total`` bytes in the order they come, then the directories.
+
+    The sum is known before, so the header can point to the directories and the file is written front to back, as
+    object stores ask.
+    """
     planes = 1 if lay.interleaved else lay.samples
     lay.offsets = [[0] * (planes * math.prod(lay.tiles(k))) for k in range(len(lay.sizes))]
     lay.counts = [list(x) for x in lay.offsets]
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    part = path + ".partial"
-    try:
-        with open(part, "wb") as f:
-            f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if lay.big else struct.pack("<2sHI", b"II", 42, 0))
-            for level, plane, ty, tx, data in tiles:
-                i = lay.index(level, plane, ty, tx)
-                lay.offsets[level][i], lay.counts[level][i] = f.tell(), len(data)
-                f.write(data)
-            if f.tell() % 2:
-                f.write(b"\0")
-            at = f.tell()
-            f.write(directories(lay, at))
-            f.seek(8 if lay.big else 4)
-            f.write(struct.pack("<Q" if lay.big else "<I", at))
-        os.replace(part, path)
-    except BaseException:
-        if os.path.exists(part):
-            os.remove(part)
-        raise
+    at = 16 if lay.big else 8
+    end = at + total + total % 2
+    with published(path) as f:
+        f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, end) if lay.big else struct.pack("<2sHI", b"II", 42, end))
+        for level, plane, ty, tx, data in tiles:
+            i = lay.index(level, plane, ty, tx)
+            lay.offsets[level][i], lay.counts[level][i] = at, len(data)
+            f.write(data)
+            at += len(data)
+        if at + total % 2 != end:
+            raise ValueError(f"tiles have {at} bytes, not the {total} told")
+        f.write(b"\0" * (end - at) + directories(lay, end))
 
 
 def no_data_text(v: float | None, kind: PixelType) -> str:

@@ -8,6 +8,7 @@ from datetime import datetime
 from ..functions.projections import Projection
 from ..operators.values import Normalization
 from ..raster import Grid, PixelType
+from ..sources.files import published
 from ..sources.isis import Cube
 from ..sources.pvl import number_text as num
 from ..sources.pvl import quoted
@@ -63,6 +64,5 @@ def label_text(output: str, cube: Cube, bands: list[int], kind: PixelType, n: No
 
 
 def write_label(path: str, text: str) -> None:
-    with open(path + ".partial", "w", encoding="utf-8", newline="") as f:
-        f.write(text)
-    os.replace(path + ".partial", path)
+    with published(path) as f:
+        f.write(text.encode("utf-8"))

@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from ..functions.bodies import CENTRIC, D2R, GRAPHIC, Body, convert_latitude, wrap_longitude
 from ..functions.projections import Params, Projection, build, canonical_name
 from ..raster import BY_ISIS, Grid, PixelType
+from .files import file_size, is_address, list_folder, open_input
 from .pvl import Node, PvlError, parse
 
 
@@ -102,7 +103,7 @@ def mapping_projection(m: Node) -> Projection:
 def _read_label(path: str, most: int = 256 << 20) -> Node:
     """The label at the head of a file, read in growing pieces up to its End."""
     size = 64 << 10
-    with open(path, "rb") as f:
+    with open_input(path) as f:
         while True:
             f.seek(0)
             head = f.read(size)
@@ -147,7 +148,7 @@ def open_cube(path: str) -> Cube:
         elif layout not in ("bandsequential", "bsq", ""):
             raise CubeError(f"unsupported cube format {core.text('Format')!r}")
         w, h = (c.w, c.h) if not c.tile else (-(-c.w // c.tile[0]) * c.tile[0], -(-c.h // c.tile[1]) * c.tile[1])
-        need, size = c.start + w * h * c.bands * c.type.size, os.path.getsize(c.data_path)
+        need, size = c.start + w * h * c.bands * c.type.size, file_size(c.data_path)
         if size < need:
             raise CubeError(f"file is truncated: {size} bytes, cube needs {need}")
     except (PvlError, OSError) as e:
@@ -177,7 +178,7 @@ def read_window(c: Cube, band: int, x0: int, y0: int, w: int, h: int) -> np.ndar
         raise CubeError(f"window {x0},{y0} {w}x{h} of band {band} is outside of {c.w}x{c.h}x{c.bands}")
     kind = c.type.dtype.newbyteorder(">" if c.big_endian else "<")
     out = np.empty((h, w), c.type.dtype)
-    with open(c.data_path, "rb") as f:
+    with open_input(c.data_path) as f:
 
         def numbers(offset: int, n: int) -> np.ndarray:
             f.seek(c.start + offset * c.type.size)
@@ -221,22 +222,21 @@ def expand_inputs(args: list[str]) -> list[str]:
     """Files of arguments: a file, a folder (its *.cub in any case), or a pattern in the last part of a path."""
     out: list[str] = []
     for a in args:
-        if os.path.isfile(a):
-            out.append(a)
-            continue
-        folder, pattern = (a, "*.cub") if os.path.isdir(a) else (os.path.dirname(a) or ".", os.path.basename(a))
-        found = match_folder(folder, pattern) if os.path.isdir(folder) and (os.path.isdir(a) or any(x in pattern for x in "*?[")) else []
+        if (inside := list_folder(a)) is not None:
+            found = match_names(inside, "*.cub")
+        elif any(x in os.path.basename(a) for x in "*?["):
+            found = match_names(list_folder(os.path.dirname(a) or ".") or [], os.path.basename(a))
+        else:
+            found = [a] if is_address(a) or os.path.isfile(a) else []
         if not found:
-            raise FileNotFoundError(f"no cube files in {a!r}" if os.path.isdir(a) else f"not found: {a!r}")
+            raise FileNotFoundError(f"no such file, or no cubes in: {a!r}")
         out += found
     return out
 
 
-def match_folder(folder: str, pattern: str) -> list[str]:
-    """Sorted paths of the files in a folder that match, case ignored."""
-    with os.scandir(folder) as entries:
-        names = sorted(e.name for e in entries if not e.is_dir() and fnmatch.fnmatchcase(e.name.lower(), pattern.lower()))
-    return [os.path.join(folder, n) for n in names]
+def match_names(paths: list[str], pattern: str) -> list[str]:
+    """The paths whose last part matches, case ignored."""
+    return [p for p in paths if fnmatch.fnmatchcase(os.path.basename(p).lower(), pattern.lower())]
 
 
 PIXELS = "cube string, band int, line int, sample int, value double"
@@ -255,7 +255,7 @@ class Window(InputPartition):
 
 class IsisReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = expand_inputs(options["path"].removeprefix("file://").split(","))
+        self.paths = expand_inputs(options["path"].split(","))
         self.raw = options.get("raw", "false").lower() == "true"
         self.blocks = options.get("blocks", "false").lower() == "true"
         self.edge = int(options.get("window", 1024))
