@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html, language, packing, quality, repetition, secrets, sharding, simhash, warc
 from .common import read_table
+from .oracles import ORACLES
 
 
 def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality_rules(read_table(spark, sf_dir, "documents"))
+    return repetition.quality_rules(read_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,5 @@ QUERIES = {
         op10_fourier_quality,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
