@@ -61,7 +61,8 @@ def _split(points: np.ndarray, distance: int, rng: np.random.Generator, tries: i
     for v in rng.choice(points, min(tries, len(points)), replace=False):
         count = np.bincount(distances(few, v), minlength=65).cumsum()
         n = count[-1]
-        for r in np.flatnonzero((count >= n * 0.2) & (count <= n * 0.8)):
+        fair = np.flatnonzero((count >= n * 0.2) & (count <= n * 0.8))
+        for r in fair if len(fair) else np.flatnonzero((count > 0) & (count < n)):
             inside, outside = count[min(64, r + distance)] / n, 1 - (count[r - distance] if r >= distance else 0) / n
             # points that each side searches, weighted by what the side holds
             cost = inside * count[r] / n + outside * (1 - count[r] / n)
