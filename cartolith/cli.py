@@ -12,6 +12,7 @@ FLAGS = {
     "raw": "keep stored numbers, without their scaling",
     "overviews": "add levels at half size",
     "interleave": "store samples by pixel",
+    "approximate": "interpolate positions along rows, to an eighth of a pixel",
 }
 TEXTS = {
     "output": "file or folder", "type": "stored type", "stretch": "auto, minmax or LO,HI: to 8 bits", "normalize": "float32, float64, uint8 or uint16: to the type's range, with a label", "nodata": "value, nan or none",

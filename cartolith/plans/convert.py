@@ -138,6 +138,30 @@ def sample_tile(reader: BlockReader, bands: list[int], u: np.ndarray, v: np.ndar
     return out
 
 
+def interpolated(place, x: np.ndarray, y: np.ndarray, step: int = 16, tolerance: float = 0.125) -> tuple[np.ndarray, np.ndarray]:
+    """``place(x, y)``, linear along rows in stretches of ``step`` columns where that is within ``tolerance`` pixels at their middles.
+
+    Other stretches, and those with a point that has no place, are computed point by point.
+    """
+    w = x.shape[1]
+    knots = np.unique(np.append(np.arange(0, w, step), w - 1))
+    if len(knots) < 2:
+        return place(x, y)
+    middle = (knots[:-1] + knots[1:]) // 2
+    known, tried = place(x[:, knots], y[:, knots]), place(x[:, middle], y[:, middle])
+    part = np.clip(np.searchsorted(knots, np.arange(w), "right") - 1, 0, len(knots) - 2)
+    share = lambda at, k: (at - knots[k]) / (knots[k + 1] - knots[k])
+    each = np.arange(len(middle))
+    good = np.ones((x.shape[0], len(middle)), bool)
+    for a, b in zip(known, tried):
+        good &= np.abs(a[:, :-1] + (a[:, 1:] - a[:, :-1]) * share(middle, each) - b) <= tolerance
+    out = [a[:, part] + (a[:, part + 1] - a[:, part]) * share(np.arange(w), part) for a in known]
+    rest = ~good[:, part]
+    for a, b in zip(out, place(x[rest], y[rest])):
+        a[rest] = b
+    return out[0], out[1]
+
+
 def tile_values(plan: ConversionPlan, reader: BlockReader, ty: int, tx: int, bands: list[int]) -> list[np.ndarray]:
     """Doubles of an output tile's valid part, one block a band."""
     t, g = plan.options.tile, plan.grid
@@ -146,8 +170,9 @@ def tile_values(plan: ConversionPlan, reader: BlockReader, ty: int, tx: int, ban
     if not plan.warped:
         return [decode(plan.cube, read_window(plan.cube, b, x0, y0, w, h), plan.options.raw) for b in bands]
     x, y = np.meshgrid(g.x0 + (np.arange(x0, x0 + w) + 0.5) * g.resx, g.y0 - (np.arange(y0, y0 + h) + 0.5) * g.resy)
+    place = lambda x, y: source_position(x, y, plan.projection, plan.cube.projection, plan.cube.grid)
     with np.errstate(all="ignore"):
-        u, v = source_position(x, y, plan.projection, plan.cube.projection, plan.cube.grid)
+        u, v = interpolated(place, x, y) if plan.options.approximate else place(x, y)
     return sample_tile(reader, bands, u, v, plan.options.resample, wraps(plan.cube.projection, plan.cube.grid))
 
 

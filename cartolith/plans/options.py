@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from ..raster import PixelType, pixel_type, TYPES
+from ..raster import TYPES, PixelType, pixel_type
 from ..sources.isis import Cube
 
 
@@ -29,6 +29,7 @@ class Options:
     extent: str = ""
     size: str = ""
     resample: str = "bilinear"
+    approximate: bool = False  # interpolate source positions along rows, to an eighth of a pixel
     overviews: bool = False
     overview_method: str = "average"
     compress: str = "deflate"

@@ -352,3 +352,11 @@ def cube_info(spark, paths: list[str]):
             yield out.astype({k: "Int32" for k in ("samples", "lines", "bands")})
 
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInPandas(run, INFO)
+
+
+def summary(info):
+    """One row over :func:`cube_info`: readable and unreadable files, mapped ones, bands, and the first mapped file by path."""
+    from pyspark.sql import functions as F
+
+    read, mapped = F.col("samples").isNotNull(), F.col("projection").isNotNull()
+    return info.agg(F.count_if(read).alias("readable"), F.count_if(~read).alias("unreadable"), F.count_if(mapped).alias("mapped"), F.sum("bands").alias("bands"), F.min(F.when(mapped, F.col("path"))).alias("reference"))

@@ -281,3 +281,39 @@ def test_streaming(spark, tmp_path):
     got = {r["band"]: (r["lo"], r["hi"]) for r in spark.table("ran").collect()}
     _, v = whole(str(folder / "demo.cub"))
     assert got == {b + 1: (np.nanmin(v[b]), np.nanmax(v[b])) for b in range(2)}
+
+
+def test_interpolated_positions(demo):
+    from cartolith.plans.convert import interpolated
+
+    plan = plan_conversion(demo, Options(proj="ortho:clon=20,clat=30", res="9000"))
+    x, y = np.meshgrid(plan.grid.x0 + (np.arange(300) + 0.5) * 9000, plan.grid.y0 - (np.arange(200) + 0.5) * 9000)
+    calls = []
+
+    def place(a, b):
+        calls.append(a.size)
+        with np.errstate(all="ignore"):
+            return warp.source_position(a, b, plan.projection, plan.cube.projection, plan.cube.grid)
+
+    for near, exact in zip(interpolated(place, x, y), place(x, y)):
+        assert np.array_equal(np.isnan(near), np.isnan(exact)) and np.nanmax(np.abs(near - exact)) < 0.25
+    assert sum(calls[:3]) < 0.6 * x.size
+
+
+def test_source_predicate_on_columns(spark, demo):
+    from cartolith.plans.grid import in_source
+
+    c = open_cube(demo)
+    c.w = 40
+    pts = [(0.1 * i, 0.1 * j) for i in range(-31, 32, 3) for j in range(-15, 16, 3)]
+    got = spark.createDataFrame(pts, "lon double, lat double").select(in_source(c, F.col("lon"), F.col("lat")).alias("x")).collect()
+    want = in_source(c, *(np.array(a) for a in zip(*pts)))
+    assert [bool(r["x"]) for r in got] == want.tolist() and 0 < want.sum() < len(pts)
+
+
+def test_summary(spark, demo, tmp_path):
+    from cartolith.sources.isis import cube_info, summary
+
+    (tmp_path / "bad.cub").write_text("End")
+    row = summary(cube_info(spark, [demo, str(tmp_path / "bad.cub")])).first()
+    assert (row["readable"], row["unreadable"], row["mapped"], row["bands"], row["reference"]) == (1, 1, 1, 2, demo)
