@@ -132,3 +132,10 @@ def is_held_out(doc_id: str = "doc_id"):
     """crc32(doc_id as text) mod 3 = 1; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
+
+def about(df: DataFrame, want: int, count: int) -> DataFrame:
+    """All of ``count`` rows if they are at most ``want``, else about that many.
+
+    Rows are drawn one by one with a fixed seed, whatever their keys, so a frequent key can't swell the sample.
+    """
+    return df if count <= want else df.sample(want / count, seed=29)

@@ -47,6 +47,9 @@ PART_WORDS = frozenset(
     "related recommended replies reply search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
 LANDMARKS = frozenset(("article", "main"))
+#: Class names that tell a state of the page, not a part of it.
+STATES = ("has-", "no-", "with-", "without-", "is-")
+WHOLE = frozenset(("#root", "html", "body", "article", "main"))
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -98,7 +101,8 @@ def parse(html: str) -> Node:
                     break
         names = ()
         if m[3] and not m[3].isspace():
-            names = tuple(sorted({w for a in NAMED.finditer(m[3]) for w in WORDS.findall((a[2] or a[3] or a[4] or "").lower())}))
+            values = (v for a in NAMED.finditer(m[3]) for v in (a[2] or a[3] or a[4] or "").lower().split())
+            names = tuple(sorted({w for v in values if not v.startswith(STATES) for w in WORDS.findall(v)}))
         node = Node(tag, names)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -200,7 +204,7 @@ def host_of(url: Column) -> Column:
 
 
 def is_part(node: Node) -> bool:
-    return node.tag in PART_TAGS or not PART_WORDS.isdisjoint(node.names)
+    return node.tag in PART_TAGS or node.tag not in WHOLE and not PART_WORDS.isdisjoint(node.names)
 
 
 def extract(html: str | None, wrapper: dict[str, bool] | None = None) -> str:

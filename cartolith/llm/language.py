@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, is_held_out, is_training, map_texts
+from .common import about, chunks, is_held_out, is_training, map_texts
 
 BUCKETS = 1 << 15
 
@@ -108,12 +108,10 @@ def score(texts: list[str | None], names: list[str], model: np.ndarray) -> tuple
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 20_000, **options):
     """The broadcast model (languages, matrix), learned from rows that are not held out and have a language.
 
-    From all of them up to ``sample``, else from about that many, those with the smallest hashes of doc_id.
+    From all of them up to ``sample``, else from about that many.
     """
     labelled = docs.where(is_training(doc_id) & F.col(lang).isNotNull())
-    n = labelled.count()
-    if n > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+    labelled = about(labelled, sample, labelled.count())
     return docs.sparkSession.sparkContext.broadcast(train(labelled, text, lang, **options))
 
 

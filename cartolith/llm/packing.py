@@ -3,8 +3,8 @@
 1. Each text is tokenised (its ids and a closing one) and stored with a routing key, the least hash over its pairs of
    neighbouring ids: texts that share much of their wording tend to share the key.
 2. Document frequencies of all token ids and the mean length are summed over all documents. The vocabulary bounds them.
-3. Documents are range-partitioned by (routing key, doc_id): a shard holds about ``shard_tokens`` tokens, and a frequent
-   key or a group of copies is split over as many shards as it needs.
+3. Documents are range-partitioned by (routing key, doc_id, place in the table): a shard holds about ``shard_tokens``
+   tokens, and a frequent key, a group of copies or a repeated row is split over as many shards as it needs.
 4. A shard builds an inverted index of its documents: postings by token id with BM25 weights. A document's full windows
    stand alone. Of the rest, the first unused document is the seed of a window; the index ranks the unused documents by
    BM25 for the seed's terms; they fill the window in that order, the last one cut to fit exactly, and what is left of
@@ -241,7 +241,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     df = frequencies(tokens, size, kind)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast((idf, max(1.0, total / max(1, n))))
-    shards = tokens.repartitionByRange(max(1, -(-total // shard_tokens)), "route", doc_id, "n")
+    placed = tokens.withColumn("at", F.monotonically_increasing_id())  # so that equal rows can part
+    shards = placed.repartitionByRange(max(1, -(-total // shard_tokens)), "route", doc_id, "at")
     key = docs.schema[doc_id]
     schema = StructType([key] + [StructField(x, LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -264,4 +265,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
         columns = [names, *(pa.array(x, pa.int64()) for x in (start, length, crc, each, sequence + base, offset))]
         yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(schema))
 
-    return shards.sortWithinPartitions("route", doc_id, "n", F.crc32("ids")).select(doc_id, "ids").mapInArrow(run, schema)
+    return shards.sortWithinPartitions("route", doc_id, "at").select(doc_id, "ids").mapInArrow(run, schema)

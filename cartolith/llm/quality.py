@@ -9,7 +9,8 @@
    adjacent violators makes a monotone curve of them.
 
 Training rows are those whose crc32(doc_id as text) mod 3 is not 1, with a label that is not null: remainder 0 fits the
-ridge, remainder 2 calibrates. A doc_id with several labels counts once for each. Without training rows every score is
+ridge, remainder 2 calibrates. A doc_id with several labels has their
+mean, so a join never multiplies rows. Without training rows every score is
 0.5. Repeated rows give repeated results, a null doc_id is scored and not held out, other columns are ignored.
 """
 
@@ -140,7 +141,7 @@ def calibrated(z: np.ndarray, curve: np.ndarray) -> np.ndarray:
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; ``labels`` holds doc_id and a 0/1 ``label``."""
     stats = stored(map_texts(docs, [doc_id], text, "stats array<float>", lambda texts: [[statistics(t) for t in texts]]), "statistics")
-    told = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("label"))
+    told = labels.groupBy(F.col(doc_id).alias("_id")).agg(F.avg(F.col(label).cast("double")).alias("label")).where("label is not null")
     rows = stats.join(told, stats[doc_id] == told["_id"]).select((F.crc32(F.col(doc_id).cast("string")) % 3).alias("part"), "stats", "label").where("part <> 1")
     model = fit(rows, **options)
 

@@ -2,7 +2,7 @@
 
 1. A text's fingerprint: A-Z in lower case, shingles of three words (repeats count), XXH64 of each with seed 42; a bit
    is set if it is set in over half of the hashes. Equal fingerprints are one node from here on.
-2. A shard tree is fitted on a bounded sample of fingerprints (``sample`` of them, the smallest by a hash): each node
+2. A shard tree is fitted on a bounded sample of fingerprints (about ``sample`` of them): each node
    holds a vantage point and a radius, chosen so that few fingerprints lie near the border. Every fingerprint goes to
    its own leaf, and, as a query, to each leaf that a ball of ``distance`` around it reaches (the triangle bound
    |d(x, v) - radius| <= distance). So each pair within ``distance`` meets in a leaf.
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_texts, stored
+from .common import WORD, about, map_texts, stored
 from .components import connected_components
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -178,7 +178,7 @@ def link(every: DataFrame, distance: int = 2, sample: int = 32_768, leaf: int =
     """
     nodes = stored(every.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     count = nodes.count()
-    few = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    few = about(nodes.select("fp"), sample, count).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = fit_tree(few, min(most_leaves, max(1, -(-count // leaf))), distance)
 
     def to_leaves(frames):

@@ -353,6 +353,7 @@ def test_wrapper_drops_constant_nodes():
     page = '<body><div id=top>Our site</div><div class="c"><p>One %d</p><ul><li>a<li>b%d</ul></div><div class="z">All rights</div></body>'
     wrapper = {p: True for p, c in html.induce([html.fold([html.parse(page % (i, i))]) for i in range(5)]).items() if c}
     assert html.extract(page % (9, 9), wrapper) == "One 9\na\nb9"
+    assert html.extract('<body class="has-sidebar"><div class="no-sidebar">text</div><div class="left sidebar">no</div>') == "text"
     assert html.extract("<div>" * 5000 + "deep") == "deep"
     assert html.extract("<p title='a>b'>x</p><p class=\"open>y</p>") .startswith("x")
 
