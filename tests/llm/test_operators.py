@@ -255,6 +255,8 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert set(got) == {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, settings=small).collect()}
     assert decontaminate.find_leaks(docs.where("false"), bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0
+    alone = docs.where("doc_id = 7")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(alone, bench).collect()] == [(7, 7)]
     kept = decontaminate.drop_leaks(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*range(100, 130), 200, 201}
 
