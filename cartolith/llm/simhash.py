@@ -215,7 +215,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     every = stored(fingerprints(docs, doc_id, text).withColumnRenamed(doc_id, "doc_id"), "fingerprints")
     named = link(every, **options)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
-    stay = every.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.fp").alias("_fp"))
+    least = every.groupBy("fp").agg(F.min(order).alias("r"))  # before the join, so that a group of copies is one row in it
+    stay = least.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.fp").alias("_fp"))
     stay = stored(stay, "representatives")
     others = [c for c in docs.columns if c != text]
     told = map_texts(docs, others, text, f"_own long, `{text}` string", lambda texts: [np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64), texts])
