@@ -31,7 +31,7 @@ from .common import map_texts, stored
 
 CLOSING = 1
 #: The tokenizer's own split of texts in lower case whose characters are all below U+0100.
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\x09-\\x0d \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+PIECES = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\x09-\\x0d \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 OPEN = "<|"
 
 
@@ -41,6 +41,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids of whole texts, the same as the tokenizer's, with a bounded cache of its pieces.
 
@@ -48,12 +56,13 @@ class Encoder:
     characters, or with what may be a special token, go to the tokenizer itself.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.cache, self.keep = Tokenizer.from_file(path), {}, keep
         model = self.tokenizer.model
-        self.bare = Tokenizer(model)  # the merges alone, over pieces between spaces
+        self.ascii, self.bare = Tokenizer(model), Tokenizer(model)  # the merges alone, over pieces between spaces
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # bytes of printable ASCII stand for themselves
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -69,7 +78,9 @@ class Encoder:
         out: list[bytes] = []
         for k in range(0, len(pieces), at_once):
             few = pieces[k : k + at_once]
-            ids = np.array(self.bare.encode(" ".join(few), add_special_tokens=False).ids, self.kind)
+            text = " ".join(few)
+            plain = text.isascii() and text.isprintable()
+            ids = np.array((self.ascii if plain else self.bare).encode(text, add_special_tokens=False).ids, self.kind)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(few):
                 out += self._encode(few)
@@ -86,7 +97,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = b""
-            elif OPEN not in t and (t.isascii() or max(t) < "Ā"):
+            elif OPEN not in t and is_latin(t):
                 pieces = PIECES.findall(t.lower())
                 split.append((i, pieces))
                 new.update(pieces)
@@ -94,7 +105,7 @@ class Encoder:
                 other.append(i)
         if len(self.cache) > self.keep:
             self.cache.clear()
-        new = list(new.difference(self.cache))
+        new = sorted(new.difference(self.cache), key=str.isascii)
         self.cache.update(zip(new, self._encode_pieces(new)))
         for i, pieces in split:
             out[i] = b"".join(map(self.cache.__getitem__, pieces))
@@ -133,10 +144,12 @@ def frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     """Document frequency by token id, over all documents."""
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        total, seen = np.zeros(size, np.int64), np.zeros(size, bool)
         for batch in batches:
-            for ids in batch.column(0):
-                total[np.unique(np.frombuffer(ids.as_buffer(), kind))] += 1
+            for ids in batch.column(0).to_pylist():
+                seen[:] = False
+                seen[np.frombuffer(ids, kind)] = True
+                total += seen
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": at, "n": total[at]})
 
