@@ -4,15 +4,17 @@
    classes, siblings with one label are folded into one list node, and each node carries a hash of its text.
 2. Of each host up to ``sample`` different pages are taken (the smallest by a hash of their html; tasks keep that many,
    then a ranked window does). Their trees are aligned by simple tree matching (Yang, 1991): the order-preserving
-   matching of children with the most nodes. A node matched on most pages with the same text everywhere is template; one
-   whose text varies is a slot.
-3. Each page is read with its host's wrapper. Slots whose tag, class, id or role names a page part that is no article
-   (menus, headers, footers, sidebars, notices, adverts, forms, comments) are dropped, and so are scripts and styles. If
-   the page has an article or main element, its text is what lies in them, and constant nodes there stay, because copies
-   of an article on one host must not erase each other. Otherwise it is the slots of the whole body, without template.
-
-The wrapper of a host is fitted on a bounded sample, every page is extracted whole. Wrappers are broadcast if together
-they are under ``broadcast_bytes``; else they are joined by host, which adaptive execution splits for a large host.
+   matching of children with the most nodes. The merged tree is the host's wrapper.
+3. The tree of every page is matched with its host's wrapper, which gives its nodes their places; nodes that match none
+   have their path of labels as place. Texts are counted by place over all different pages of the host. A text is
+   template where most of the pages with that place have it; a node is dropped only if its own text is template.
+4. Nodes whose tag, class, id or role names a page part that is no article (menus, headers, footers, sidebars, notices,
+   adverts, forms, comments) are dropped, and so are scripts and styles. If the page has an article or main element, its
+   text is what lies in them, and constant nodes there stay, because copies of an article on one host must not erase each
+   other. Otherwise it is the slots of the whole body, without template.
+
+Wrappers are fitted on a bounded sample, templates on all pages, and every page is extracted whole. Either is broadcast
+if all hosts' are under ``broadcast_bytes``; else joined by host, which adaptive execution splits for a large host.
 
 A null or empty html, or one without text, gives an empty text. A null url, or one without a host, belongs to the
 host "". Repeated rows give repeated results; page_id may be null; other columns are ignored.
@@ -181,11 +183,17 @@ def _merge(wrapper: list, tree: list, memo: dict) -> None:
         wrapper[2].insert(last, _counted(child))
 
 
-def induce(trees: list[list], share: float = 0.8, least: int = 3) -> dict[str, bool]:
-    """The wrapper of a host: for each path of labels whether the node is template (else a slot)."""
+def aligned(trees: list[list]) -> list:
+    """The wrapper of a host: its trees merged along their alignments, as [label, {text hash: pages}, [children]]."""
     wrapper = _counted(trees[0])
     for tree in trees[1:]:
         _merge(wrapper, tree, {})
+    return wrapper
+
+
+def induce(trees: list[list], share: float = 0.8, least: int = 3) -> dict[str, bool]:
+    """For each path of labels in the trees' wrapper whether the node is template (else a slot), by these trees alone."""
+    wrapper = aligned(trees)
     out: dict[str, bool] = {}
 
     def walk(node: list, path: str) -> bool:
@@ -199,6 +207,38 @@ def induce(trees: list[list], share: float = 0.8, least: int = 3) -> dict[str, b
     return out
 
 
+def _long(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def placed(tree: list, wrapper: list | None) -> list[tuple[str, int, int]]:
+    """(path of labels, place, hash) of each node with text of a page's folded tree, nearest the root last.
+
+    A place is a node of the wrapper that simple tree matching gives; where it gives none, a path of labels. The hash is
+    that of all labels and texts under the node.
+    """
+    out: list[tuple[str, int, int]] = []
+    memo: dict = {}
+
+    def walk(node: list, path: str, twin: list | None, at: str) -> str:
+        pairs = {j: i for i, j in match(twin, node, memo)[1]} if twin else {}
+        parts = [node[0], node[1]]
+        empty = not node[1]
+        for j, c in enumerate(node[2]):
+            i = pairs.get(j)
+            inner = walk(c, f"{path}/{c[0]}", twin[2][i] if i is not None else None, f"{at}/{c[0]}" if i is None else f"{at}/{i}")
+            parts.append(inner)
+            empty &= not inner
+        if empty:
+            return ""
+        text = _hash(parts)
+        out.append((path, _long(at), int(text, 16)))
+        return text
+
+    walk(tree, tree[0], wrapper, "")
+    return out
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
@@ -207,11 +247,14 @@ def is_part(node: Node) -> bool:
     return node.tag in PART_TAGS or node.tag not in WHOLE and not PART_WORDS.isdisjoint(node.names)
 
 
-def extract(html: str | None, wrapper: dict[str, bool] | None = None) -> str:
-    """The main text of a page under its host's wrapper: blocks in page order, one \\n between them."""
+def extract(html: str | None, wrapper: dict[str, bool] | None = None, root: Node | None = None) -> str:
+    """The main text of a page without the template paths of ``wrapper``: blocks in page order, one \\n between them.
+
+    ``root`` is the page's tree, if it is parsed already.
+    """
     if not html:
         return ""
-    root = parse(html)
+    root = root or parse(html)
     marks, stack = [], [root]
     while stack:
         for c in reversed(stack.pop().children):
@@ -267,7 +310,7 @@ def induce_wrappers(pages: DataFrame, sample: int = 12) -> DataFrame:
         kept: dict[str, list] = {}  # by host a heap of (-hash, html), without equal pages
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rank = int.from_bytes(blake2b(html.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+                rank = _rank(html)
                 heap = kept.setdefault(host, [])
                 if len(heap) == sample and -heap[0][0] <= rank or any(-r == rank for r, _ in heap):
                     continue
@@ -275,42 +318,98 @@ def induce_wrappers(pages: DataFrame, sample: int = 12) -> DataFrame:
         for host, heap in kept.items():
             yield pa.RecordBatch.from_pydict({"host": [host] * len(heap), "rank": [-r for r, _ in heap], "tree": [json.dumps(fold([parse(h)])) for _, h in heap]})
 
+    def bare(node: list) -> list:
+        return [node[0], "", [bare(c) for c in node[2]]]
+
     def wrapper(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rank").drop_duplicates("rank")
-        found = induce([json.loads(t) for t in frame["tree"]])
-        return pd.DataFrame({"host": frame["host"].iloc[:1], "wrapper": [json.dumps([p for p, constant in found.items() if constant])]})
+        return pd.DataFrame({"host": frame["host"].iloc[:1], "wrapper": [json.dumps(bare(aligned([json.loads(t) for t in frame["tree"]])))]})
 
     some = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html").mapInArrow(trees, "host string, rank long, tree string")
     some = some.dropDuplicates(["host", "rank"]).withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("rank"))).where(F.col("n") <= sample)
     return stored(some.groupBy("host").applyInPandas(wrapper, "host string, wrapper string"), "wrappers")
 
 
+def _rank(html: str) -> int:
+    return int.from_bytes(blake2b(html.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+
+
+class ByHost:
+    """A table (host, value string) for the tasks over a table with a host: broadcast if small, else joined."""
+
+    def __init__(self, table: DataFrame, value: str, broadcast_bytes: int):
+        self.table, self.value, self.shared = table, value, None
+        size = table.agg(F.coalesce(F.sum(F.length("host") + F.length(value) + 64), F.lit(0))).first()[0]
+        if size <= broadcast_bytes:
+            self.shared = table.sparkSession.sparkContext.broadcast({r["host"]: r[value] for r in table.collect()})
+
+    def joined(self, rows: DataFrame) -> DataFrame:
+        return rows if self.shared else rows.join(self.table, "host", "left")
+
+    def reader(self, load, none):
+        """What a task calls with a batch: for each of its rows the loaded value of its host."""
+        shared, value, known = self.shared, self.value, {}
+
+        def read(batch: pa.RecordBatch) -> list:
+            hosts = batch.column("host").to_pylist()
+            told = [shared.value.get(h) for h in hosts] if shared else batch.column(value).to_pylist()
+            out = []
+            for host, x in zip(hosts, told):
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[host] = load(x) if x else none
+                out.append(known[host])
+            return out
+
+        return read
+
+
+def find_templates(pages: DataFrame, wrappers: ByHost, share: float = 0.8, least: int = 3) -> DataFrame:
+    """(host, template JSON): a stored table of the pairs of place and hash that are template on a host.
+
+    Counted are all different pages of a host. A pair is template if ``share`` of the pages that have the place, and
+    ``least`` of them, have the hash there; so a rarer layout has its own template.
+    """
+    load = wrappers.reader(json.loads, None)
+
+    def nodes(batches):
+        for batch in batches:
+            ranks, places, hashes = [], [], []
+            for html, wrapper in zip(batch.column("html").to_pylist(), load(batch)):
+                found = placed(fold([parse(html)]), wrapper)
+                ranks.append(_rank(html))
+                places.append([p for _, p, _ in found])
+                hashes.append([h for _, _, h in found])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(ranks, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "rank", "places", "hashes"])
+
+    rows = wrappers.joined(pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html"))
+    each = rows.mapInArrow(nodes, "host string, rank long, places array<long>, hashes array<long>")
+    each = each.groupBy("host", "rank").agg(F.first(F.arrays_zip("places", "hashes")).alias("nodes"))
+    counts = each.select("host", F.explode("nodes").alias("n")).groupBy("host", F.col("n.places").alias("place"), F.col("n.hashes").alias("hash")).agg(F.count("*").alias("pages"))
+    top = counts.groupBy("host", "place").agg(F.sum("pages").alias("all"), F.max(F.struct("pages", "hash")).alias("most"))
+    top = top.where((F.col("most.pages") >= least) & (F.col("most.pages") >= share * F.col("all")))
+    return stored(top.groupBy("host").agg(F.to_json(F.collect_list(F.array("place", "most.hash"))).alias("template")), "templates")
+
+
 def extract_text(pages: DataFrame, sample: int = 12, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
-    wrappers = induce_wrappers(pages, sample)
-    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + F.length("wrapper") + 64), F.lit(0))).first()[0]
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    wrappers = ByHost(induce_wrappers(pages, sample), "wrapper", broadcast_bytes)
+    templates = ByHost(find_templates(pages, wrappers), "template", broadcast_bytes)
+    rows = templates.joined(wrappers.joined(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")))
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     schema = StructType([pages.schema["page_id"], pages.schema["url"], StructField("text", StringType()), StructField("n_chars", LongType())])
-    if size <= broadcast_bytes:
-        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.collect()})
-    else:
-        shared = None
-        rows = rows.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper")
+    wrapper_of = wrappers.reader(json.loads, None)
+    template_of = templates.reader(lambda x: frozenset(map(tuple, json.loads(x))), frozenset())
 
     def run(batches):
-        known: dict[str, dict] = {}
         for batch in batches:
-            hosts, htmls = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            told = batch.column(4).to_pylist() if shared is None else [shared.value.get(h) for h in hosts]
             texts = []
-            for host, html, wrapper in zip(hosts, htmls, told):
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host] = dict.fromkeys(json.loads(wrapper or "[]"), True)
-                texts.append(extract(html, known[host]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for html, wrapper, template in zip(batch.column("html").to_pylist(), wrapper_of(batch), template_of(batch)):
+                root = parse(html) if html else None
+                drop = {path: True for path, *node in placed(fold([root]), wrapper) if tuple(node) in template} if root and template else {}
+                texts.append(extract(html, drop, root))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, schema)

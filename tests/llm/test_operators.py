@@ -360,6 +360,15 @@ def test_wrapper_drops_constant_nodes():
     assert html.extract("<p title='a>b'>x</p><p class=\"open>y</p>") .startswith("x")
 
 
+def test_template_is_told_by_text_over_all_pages(spark):
+    page = "<body><div id=top>Our site</div><div class=box>%s</div><div class=c><p>One %d</p></div></body>"
+    rows = [(k, "http://a.example/", page % ("Standing notice", k)) for k in range(40)] + [(40 + k, "http://a.example/", page % (f"Correction {k}", 40 + k)) for k in range(3)]
+    rare = "<body><section class=top>Print view</section><section class=text>Two %d</section></body>"  # another layout, on few pages
+    rows += [(50 + k, "http://a.example/", rare % k) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {k: f"One {k}" for k in range(40)} | {40 + k: f"Correction {k}\nOne {40 + k}" for k in range(3)} | {50 + k: f"Two {k}" for k in range(4)}
+
+
 def test_quality_on_held_out_rows(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     all_docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
