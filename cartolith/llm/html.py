@@ -10,8 +10,9 @@
    template where most of the pages with that place have it; a node is dropped only if its own text is template.
 4. Nodes whose tag, class, id or role names a page part that is no article (menus, headers, footers, sidebars, notices,
    adverts, forms, comments) are dropped, and so are scripts and styles. If the page has an article or main element, its
-   text is what lies in them, and constant nodes there stay, because copies of an article on one host must not erase each
-   other. Otherwise it is the slots of the whole body, without template.
+   text is what lies in them, without the blocks that are template; but an element of which template is over half of the
+   text stays whole, because copies of an article on one host must not erase each other, and so do constant inline nodes.
+   Otherwise it is the slots of the whole body, without template.
 
 Wrappers are fitted on a bounded sample, templates on all pages, and every page is extracted whole. Either is broadcast
 if all hosts' are under ``broadcast_bytes``; else joined by host, which adaptive execution splits for a large host.
@@ -255,21 +256,29 @@ def extract(html: str | None, wrapper: dict[str, bool] | None = None, root: Node
     if not html:
         return ""
     root = root or parse(html)
-    marks, stack = [], [root]
+    marks, stack = [], [(root, "#root")]
     while stack:
-        for c in reversed(stack.pop().children):
+        node, path = stack.pop()
+        for c in reversed(node.children):
             if isinstance(c, Node) and (c.tag in LANDMARKS or not is_part(c)):
-                stack.append(c)
-        while stack and stack[-1].tag in LANDMARKS:
+                stack.append((c, f"{path}/{c.label}"))
+        while stack and stack[-1][0].tag in LANDMARKS:
             marks.append(stack.pop())
     wrapper = wrapper or {}
     if marks:
-        return "\n".join(x for m in marks for x in _blocks(m, {}, ""))
+        return "\n".join(x for m in marks for x in _article(*m, wrapper))
     return "\n".join(_blocks(root, wrapper, "#root")) or "\n".join(_blocks(root, {}, ""))
 
 
-def _blocks(top: Node, wrapper: dict[str, bool], path: str) -> list[str]:
-    """The texts of the blocks under a node that are no page part and no template."""
+def _article(mark: Node, path: str, wrapper: dict[str, bool]) -> list[str]:
+    """The blocks of a landmark without template blocks; all of them where template is over half of the text, as in copies of one article."""
+    every = _blocks(mark, {}, "")
+    own = _blocks(mark, wrapper, path, BLOCK) if wrapper else every
+    return own if 2 * sum(map(len, own)) >= sum(map(len, every)) else every
+
+
+def _blocks(top: Node, wrapper: dict[str, bool], path: str, tags: frozenset[str] | None = None) -> list[str]:
+    """The texts of the blocks under a node that are no page part and no template (of ``tags`` only, if given)."""
     out: list[str] = []
     run: list[str] = []
 
@@ -291,7 +300,7 @@ def _blocks(top: Node, wrapper: dict[str, bool], path: str) -> list[str]:
         if node.tag == "br":
             run.append(" ")
             continue
-        if node is not top and (is_part(node) or wrapper.get(path)):
+        if node is not top and (is_part(node) or wrapper.get(path) and (tags is None or node.tag in tags)):
             if node.tag in BLOCK:
                 flush()
             continue

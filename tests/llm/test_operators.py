@@ -369,6 +369,14 @@ def test_template_is_told_by_text_over_all_pages(spark):
     assert got == {k: f"One {k}" for k in range(40)} | {40 + k: f"Correction {k}\nOne {40 + k}" for k in range(3)} | {50 + k: f"Two {k}" for k in range(4)}
 
 
+def test_template_is_dropped_inside_articles(spark):
+    page = "<body><main><article><h1>Head %d</h1><p>%s</p><div class=box>Written in our house</div></article></main></body>"
+    rows = [(k, "http://a.example/", page % (k, prose(k, 20))) for k in range(8)]
+    rows += [(10 + k, "http://b.example/", f"<body><article><h1>Copy {k}</h1><div class=text>{prose(99, 30)}</div></article></body>") for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Head {k}\n{prose(k, 20)}" for k in range(8)} | {10 + k: f"Copy {k}\n{prose(99, 30)}" for k in range(5)}
+
+
 def test_quality_on_held_out_rows(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     all_docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
