@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -214,13 +215,135 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     """
     every = stored(fingerprints(docs, doc_id, text).withColumnRenamed(doc_id, "doc_id"), "fingerprints")
     named = link(every, **options)
+    return _first_rows(docs, every, named.select("fp", "root"), fingerprint, doc_id, text)
+
+
+def _first_rows(docs: DataFrame, every: DataFrame, roots: DataFrame, node, doc_id: str, text: str) -> DataFrame:
+    """One row of ``docs`` of each root; ``every`` (doc_id, fp) has the node of each row, ``node`` tells it of a text."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
     least = every.groupBy("fp").agg(F.min(order).alias("r"))  # before the join, so that a group of copies is one row in it
-    stay = least.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.fp").alias("_fp"))
+    stay = least.join(roots, "fp").groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.fp").alias("_fp"))
     stay = stored(stay, "representatives")
     others = [c for c in docs.columns if c != text]
-    told = map_texts(docs, others, text, f"_own long, `{text}` string", lambda texts: [np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64), texts])
+    told = map_texts(docs, others, text, f"_own long, `{text}` string", lambda texts: [np.array([node(x) for x in texts], np.uint64).view(np.int64), texts])
     kept = told.join(stay, (told["_own"] == stay["_fp"]) & told[doc_id].eqNullSafe(stay["_id"]), "left_semi")
     if not every.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id, "_own"])
     return kept.select(*docs.columns)
+
+
+# Near copies by shingles of five words. SimHash at Jaccard 0.8 differs in about 10 of 64 bits and in up to 18, where no
+# tree prunes, so candidates come from banded minima of the shingles, and each is verified on the texts.
+
+FIVE, BANDS, ROWS = 5, 30, 5
+_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _WordHashes(dict):
+    """Words to XXH64; a bounded cache."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        n = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), SEED)
+        return n
+
+
+_WORD_HASHES = _WordHashes()
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different shingles of five words of a text (of all its words, if they are fewer) as sorted 64-bit hashes."""
+    words = WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower()) if text else []
+    x = np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    if not len(x):
+        return x
+    size = min(FIVE, len(x))
+    out = np.full(len(x) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = (out ^ x[k : k + len(out)]) * _MIX
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def set_node(text: str | None) -> int:
+    """A 64-bit name of a text's shingles; zero without words."""
+    own = shingle_set(text)
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band of ``ROWS`` min-hashes; sets of Jaccard 0.8 share none of ``BANDS`` once in 150,000 pairs."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 512):
+        part = own[k : k + 512] * _FACTORS[:, None]
+        least = np.minimum(least, ((part ^ part >> np.uint64(32)) * _MIX).min(axis=1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * _MIX
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def similar_roots(docs: DataFrame, nodes: DataFrame, text: str, similarity: float) -> DataFrame:
+    """(fp, root) for each of ``nodes`` (fp, keys): components of the pairs that share a key and have ``similarity`` or more.
+
+    First each node is held against the least of its buckets. Then, in buckets that still hold several components, all
+    pairs across components are; so a group of n near copies costs n pairs a bucket, and no pair of a bucket is left out
+    that could join two components.
+    """
+    buckets = nodes.select("fp", F.explode("keys").alias("key"))
+    least = buckets.groupBy("key").agg(F.min("fp").alias("r"), F.count("*").alias("n")).where("n > 1").select("key", "r")
+    shared = stored(buckets.join(least, "key"), "buckets")
+    told = map_texts(docs, [], text, f"fp long, `{text}` string", lambda texts: [np.array([set_node(x) for x in texts], np.uint64).view(np.int64), texts])
+    wanted = shared.select("fp").distinct()
+    texts = stored(told.withColumnRenamed(text, "t").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("t").alias("t")), "texts")
+
+    def verify(batches):
+        for batch in batches:
+            known: dict[int, np.ndarray] = {}
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            fine = []
+            for i, (x, y) in enumerate(zip(a, b)):
+                for n, column in ((x, 2), (y, 3)):
+                    if n not in known:
+                        known[n] = shingle_set(batch.column(column)[i].as_py())
+                fine.append(jaccard(known[x], known[y]) >= similarity)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fine, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, two = texts.select(F.col("fp").alias("a"), F.col("t").alias("ta")), texts.select(F.col("fp").alias("b"), F.col("t").alias("tb"))
+        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "similar")
+
+    first = verified(shared.where("fp <> r").select(F.col("r").alias("a"), F.col("fp").alias("b")).distinct())
+    joined = connected_components(first, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"})
+    parts = shared.select("key", "fp").join(joined, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    sizes = parts.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("most"))
+    mixed = stored(parts.join(sizes.where("parts > 1").select("key", F.col("most.root").alias("main")), "key"), "mixed")
+    few = mixed.where("root <> main").select("key", F.col("fp").alias("x"), F.col("root").alias("rx"))
+    across = few.join(mixed, "key").where("root <> rx").select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b")).distinct()
+    edges = first.union(verified(across))
+    joined = connected_components(edges, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"})
+    return nodes.select("fp").join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_dissimilar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each component of texts whose shingles of five words have Jaccard ``similarity`` or more.
+
+    The row that stays is told as in :func:`keep_first`. Texts without words are one component.
+    """
+
+    def sketch(texts: list[str | None]) -> list:
+        sets = [shingle_set(x) for x in texts]
+        names = [xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets]
+        return [np.array(names, np.uint64).view(np.int64), [band_keys(x) if len(x) else [] for x in sets]]
+
+    every = stored(map_texts(docs, [doc_id], text, "fp long, keys array<long>", sketch).withColumnRenamed(doc_id, "doc_id"), "sketches")
+    nodes = stored(every.groupBy("fp").agg(F.first("keys").alias("keys")), "nodes")
+    return _first_rows(docs, every.select("doc_id", "fp"), similar_roots(docs, nodes, text, similarity), set_node, doc_id, text)

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cartolith.llm import decontaminate, html, language, packing, quality, repetition, secrets, sharding, simhash, warc
 from cartolith.llm.queries import QUERIES
 
@@ -149,6 +150,33 @@ def test_keep_first_keeps_one_row_of_each_component(docs):
     assert {d for d, _ in pairs(kept)} >= {c for c in want.values() if c is not None}
 
 
+def test_near_copies_by_five_word_shingles(spark, docs, none):
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    rows = [(k, prose(k, 150)) for k in range(20)]
+    for k in range(10):  # near copies: some words changed in one place or several
+        words = prose(k, 150).split()
+        for j in range(1 + k % 4):
+            words[20 + 35 * j] = "changed"
+        rows.append((100 + k, " ".join(words)))
+    chain = prose(50, 200).split()
+    rows += [(200 + k, " ".join(chain[10 * k : 10 * k + 120])) for k in range(6)]  # each like the next, the first unlike the last
+    rows += [(300, None), (301, ""), (None, rows[0][1]), rows[3]]
+    sets = [(d, shingles(t)) for d, t in rows]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    groups = []
+    for d, s in sets:
+        own = [g for g in groups if any(near(s, x) for _, x in g)]
+        groups = [g for g in groups if g not in own] + [[(d, s), *(x for g in own for x in g)]]
+    assert len(groups) < 35
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(d for d, _ in g if d is not None) for g in groups)
+    assert corpus_pipeline.near_dedup(spark, docs, "").columns == docs.columns
+    assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/x", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://a\n b", ""), (4, "u", None), (None, "u", "<p>é</p>"), (5, "u", "x" * 3_000_000), (6, "u", "alone"), (6, "u", "alone")]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
