@@ -289,6 +289,14 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*range(100, 130), 200, 201}
 
 
+def test_decontamination_finds_items_whose_start_is_missing(spark):
+    items = [prose(100 + k, 40) for k in range(6)]
+    rows = [(k, " ".join(items[k].split()[4 + k % 3 * 2 :]) + " " + prose(300 + k, 60)) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()) == [(k, k) for k in range(6)]
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
