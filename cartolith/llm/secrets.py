@@ -60,8 +60,9 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,12}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@[^\s/]"),
+    # to its END line; without one, to the end of the base64 lines
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2})*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{1,15}={1,2})?)"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,12}://[^\s:/@]+:[^\s:/@]{3,}@[^\s/]"),
 )
 
 # A query is True (no condition), a trigram (bytes), or ("and" | "or", frozenset of queries).

@@ -358,6 +358,16 @@ def test_secrets_against_full_scans(docs, none):
     assert not any(r["base_sha256"] != hashlib.sha256(b"").hexdigest() for r in secrets.scan_secrets(masked).collect())
 
 
+def test_secrets_are_masked_whole(spark):
+    body = "\n".join(("MIIEpAIBAAKCAQEA" + "Qx7/+zYk" * 6)[: 64 - 20 * (k == 3)] for k in range(4)) + "\nq1=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"a {begin}\n{body}\n{end} b", f"a {begin}\nDEK-Info: AES-128-CBC,77\n\n{body}\n{end} b", f"a {begin}\n{body} b", f"a {begin} b {begin}\n{body}\n{end} c", f"a {begin}" + (f"\n{body}\n{end}").replace("\n", r"\n") + " b"]
+    texts += ["git clone https://" + "u" * 90 + ":" + "tok3n_" * 30 + "@host.example/x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in secrets.mask_secrets(docs).orderBy("doc_id").collect()]
+    assert got == ["a [secret] b"] * 3 + ["a [secret] b [secret] c", "a [secret] b", "git clone [secret]ost.example/x"]
+
+
 @pytest.mark.parametrize("pattern,matching", [("ab(cdef.*ghi)jkl", "abcdefXXghijkl"), ("(foo|bar+)baz", "barrbaz"), ("x?yzw", "yzw"), ("(?:abc){2,}d", "abcabcd"), ("[ab]cde|fgh", "fgh"), ("a.c", "abc"), ("colou?r(ed|s)", "colors")])
 def test_trigram_queries_hold_for_matches(pattern, matching):
     assert re.search(pattern, matching)
