@@ -36,6 +36,11 @@ class Arrays:
             first = step(first)
         return first
 
+    @staticmethod
+    def once(make, *values):
+        """What ``make`` gives for values, each of which it may use many times."""
+        return make(*values)
+
 
 class Columns:
     """Spark's side: everything stays an expression that Catalyst can fold and compile."""
@@ -48,6 +53,14 @@ class Columns:
     def lit(v):
         return v if isinstance(v, Column) else F.lit(None if v is None else float(v)).cast("double")
 
+    @staticmethod
+    def once(make, *values):
+        """What ``make`` gives for values, which are computed once: as a lambda's argument, not copied into each use."""
+        row = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
+        made = lambda r: F.struct(*(c.alias(f"c{i}") for i, c in enumerate(make(*(r[f"v{i}"] for i in range(len(values)))))))
+        out = F.transform(F.array(row), made)
+        return tuple(out[0][f"c{i}"] for i in range(2))
+
     @staticmethod
     def floor(x):
         return F.floor(x).cast("double")

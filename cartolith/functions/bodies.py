@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+
 from .backend import backend
 
 D2R = math.pi / 180
@@ -42,14 +44,30 @@ def _stretched(lat, over: float, under: float):
     return m.where(m.abs(lat) >= math.pi / 2, lat, m.atan2(m.sin(lat) * over, m.cos(lat) * under))
 
 
+def graphic_at(lat, a, b):
+    """Planetographic latitude of a planetocentric one on axes a and b, which may be Columns too."""
+    return _stretched(lat, a * a, b * b)
+
+
+def centric_at(lat, a, b):
+    """Planetocentric latitude of a planetographic one on axes a and b."""
+    return _stretched(lat, b * b, a * a)
+
+
+def radius_at(lat, a, b):
+    """Distance from the centre to the surface at a planetocentric latitude on axes a and b."""
+    m = backend(lat)
+    return a * b / m.hypot(b * m.cos(lat), a * m.sin(lat))
+
+
 def to_graphic(lat, body: Body):
     """Planetographic latitude of a planetocentric one."""
-    return lat if body.sphere else _stretched(lat, body.a * body.a, body.b * body.b)
+    return lat if body.sphere else graphic_at(lat, body.a, body.b)
 
 
 def to_centric(lat, body: Body):
     """Planetocentric latitude of a planetographic one."""
-    return lat if body.sphere else _stretched(lat, body.b * body.b, body.a * body.a)
+    return lat if body.sphere else centric_at(lat, body.a, body.b)
 
 
 def convert_latitude(lat, body: Body, source: str, target: str):
@@ -62,8 +80,7 @@ def local_radius(body: Body, lat_degrees: float) -> float:
     """Distance from the centre to the surface at a planetocentric latitude."""
     if body.sphere:
         return body.a
-    lat = lat_degrees * D2R
-    return body.a * body.b / math.hypot(body.b * math.cos(lat), body.a * math.sin(lat))
+    return float(radius_at(np.float64(lat_degrees * D2R), body.a, body.b))
 
 
 def wrap_longitude(lon):

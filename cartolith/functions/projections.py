@@ -397,12 +397,15 @@ def _transverse_mercator(a: float, b: float, phi0: float, k0: float):
         ratio = m.sin(dl) / m.sqrt(1 + t * t)
         good = m.both(m.abs(dl) <= HALF_PI, m.abs(ratio) < 1 - 1e-12)
         eta = m.atanh(m.where(good, ratio, 0.0))
-        x, y = eta, xi
-        if n:
+
+        def series(xi, eta):
+            x, y = eta, xi
             for j, c in enumerate(alpha, 1):
                 x = x + c * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
                 y = y + c * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
-        return _if(m, good, scale * x, scale * y)
+            return scale * x, scale * y
+
+        return _if(m, good, *(m.once(series, xi, eta) if n else (scale * eta, scale * xi)))
 
     y0 = float(plane(_scalar(), 0.0, phi0)[1])
 

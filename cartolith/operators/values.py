@@ -65,9 +65,9 @@ class Normalization:
         return self.dn_max / (self.hi - self.lo) if self.hi > self.lo else 0.0
 
 
-def plan_normalization(pixels: DataFrame, dn_max: float = 1.0, multiplier: float = 1.0, base: float = 0.0, warped: bool = False) -> Normalization:
-    """From the exact range of ``pixels``; multiplier and base are the stored scaling when values are raw."""
-    lo, hi, invalid = scan_range(pixels).first()
+def plan_normalization(found, dn_max: float = 1.0, multiplier: float = 1.0, base: float = 0.0, warped: bool = False) -> Normalization:
+    """From the row of :func:`scan_range`; multiplier and base are the stored scaling when values are raw."""
+    lo, hi, invalid = found
     if lo is None:
         raise ValueError("no valid pixels to normalize")
     m = (hi - lo) / dn_max * multiplier if hi > lo else multiplier
@@ -126,41 +126,43 @@ def sampled_range(pixels: DataFrame, w: int, h: int, bands: int = 1) -> DataFram
     return pixels.where(F.col("line").isin(*sampled_lines(h, rows)) & (F.col("sample") % step == 0)).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
-def stretch_sample(pixels: DataFrame, w: int, h: int) -> DataFrame:
-    """The systematic sample that percentiles are taken of: spread lines, every step-th pixel, shifted line by line."""
+def stretch_sample(pixels: DataFrame, w: int, h: int, most: int = 2_000_000) -> DataFrame:
+    """The systematic sample that percentiles are taken of, some ``most`` pixels a band: spread lines, every step-th pixel, shifted line by line."""
     rows = sample_rows(w, h, 1024, 32 << 20)
-    step = max(1, w * rows // 2_000_000)
+    step = max(1, w * rows // most)
     spark = pixels.sparkSession
     lines = spark.createDataFrame([(y, k * 7 % step) for k, y in enumerate(sampled_lines(h, rows))], "line int, phase int")
     return pixels.join(F.broadcast(lines), "line").where((F.col("sample") >= F.col("phase")) & ((F.col("sample") - F.col("phase")) % step == 0))
 
 
-def stretch_limits(pixels: DataFrame, w: int, h: int, mode: str = "auto") -> DataFrame:
+def stretch_limits(pixels: DataFrame, w: int, h: int, mode: str = "auto", most: int = 2_000_000) -> DataFrame:
     """(band, lo, hi): the values at rank int(p * (n - 1)) of each band's sample, p = 0.5 % and 99.5 %, or the extremes.
 
     ``mode`` may also be "LO,HI". A band without data has 0 and 1. Ranks come from a window over the bounded sample
-    (some two million pixels a band), so no more than that is sorted in one task.
+    (``most`` pixels a band), so no more than that is sorted in one task, and only its lines are read.
     """
-    bands = pixels.select("band").distinct()
+    sample = stretch_sample(pixels, w, h, most).select("band", "value")
     if "," in mode:
         lo, hi = map(float, mode.split(","))
-        return bands.select("band", F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+        return sample.select("band", F.lit(lo).alias("lo"), F.lit(hi).alias("hi")).distinct()
     if mode not in ("auto", "minmax"):
         raise ValueError("stretch is auto, minmax or LO,HI")
-    valid = stretch_sample(pixels, w, h).where("value is not null")
     if mode == "minmax":
-        found = valid.groupBy("band").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+        found = sample.groupBy("band").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     else:
         by_band = Window.partitionBy("band")
-        ranked = valid.select("band", "value", (F.row_number().over(by_band.orderBy("value")) - 1).alias("r"), F.count("*").over(by_band).alias("n"))
+        ranked = sample.select("band", "value", (F.row_number().over(by_band.orderBy(F.asc_nulls_last("value"))) - 1).alias("r"), F.count("value").over(by_band).alias("n"))
         at = lambda p: F.min(F.when(F.col("r") == F.floor(F.lit(p) / 100 * (F.col("n") - 1)), F.col("value")))
         found = ranked.groupBy("band").agg(at(0.5).alias("lo"), at(99.5).alias("hi"))
-    return bands.join(found, "band", "left").select("band", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
+    return found.select("band", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
 
 
-def stretch(pixels: DataFrame, w: int, h: int, mode: str = "auto") -> DataFrame:
+def stretch(pixels: DataFrame, w: int, h: int, mode: str = "auto", most: int = 2_000_000) -> DataFrame:
     """``pixels`` with value stretched to 0..255, band by band."""
-    return pixels.join(F.broadcast(stretch_limits(pixels, w, h, mode)), "band").withColumn("value", stretched(F.col("value"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    if "," in mode:
+        lo, hi = map(float, mode.split(","))
+        return pixels.withColumn("value", stretched(F.col("value"), lo, hi))
+    return pixels.join(F.broadcast(stretch_limits(pixels, w, h, mode, most)), "band").withColumn("value", stretched(F.col("value"), F.col("lo"), F.col("hi"))).drop("lo", "hi")  # a row for each band
 
 
 def predictor2(pixels: DataFrame, bits: int, tile: int, value: str = "value", samples: int = 1) -> DataFrame:
@@ -173,14 +175,17 @@ def predictor2(pixels: DataFrame, bits: int, tile: int, value: str = "value", sa
 def tile_offsets(tiles: DataFrame, start: int = 0) -> DataFrame:
     """``tiles`` (level, plane, ty, tx, bytes) with their offsets in a file, in that order.
 
-    A two-step running sum: within a level's plane, then over the few planes; so no task sorts all tiles of a file.
+    A running sum in three steps: within a row of tiles, over the rows of a level's plane, and over the planes. So no
+    task sorts more than a row of tiles, or one number for each row of a plane, or for each plane.
     """
-    keys = ["level", "plane"]
-    inside = Window.partitionBy(*keys).orderBy("ty", "tx").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    sums = tiles.groupBy(*keys).agg(F.sum("bytes").alias("all"))
-    starts = sums.select(*keys, F.coalesce(F.sum("all").over(over), F.lit(0)).alias("base"))
-    return tiles.join(F.broadcast(starts), keys).withColumn("offset", F.lit(start) + F.col("base") + F.coalesce(F.sum("bytes").over(inside), F.lit(0))).drop("base")
+    before = lambda column, over: F.coalesce(F.sum(column).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plane, row = ["level", "plane"], ["level", "plane", "ty"]
+    rows = tiles.groupBy(*row).agg(F.sum("bytes").alias("all"))
+    planes = rows.groupBy(*plane).agg(F.sum("all").alias("whole"))
+    planes = planes.select(*plane, before("whole", Window.orderBy(*plane)).alias("base"))
+    rows = rows.select(*row, before("all", Window.partitionBy(*plane).orderBy("ty")).alias("above")).join(planes, plane)
+    inside = tiles.withColumn("left", before("bytes", Window.partitionBy(*row).orderBy("tx")))
+    return inside.join(rows, row).withColumn("offset", F.lit(start) + F.col("base") + F.col("above") + F.col("left")).drop("base", "above", "left")
 
 
 def morton(x: Column, y: Column, bits: int = 20) -> Column:

@@ -49,7 +49,7 @@ def plane_to_pixels(sx, sy, source: Projection, grid: Grid):
     return u, v
 
 
-def _computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """``df`` with columns that are computed once: a one-row generator, through which filters and projections are not
     pushed, so that later uses of a column do not copy its expression over and over into generated code."""
     row = F.struct(*(c.alias(n) for n, c in columns.items()))
@@ -59,13 +59,13 @@ def _computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 def positions(spark: SparkSession, target: Projection, out: Grid, source: Projection, grid: Grid) -> DataFrame:
     """(line, sample, u, v) of the output pixels that fall on the source image; u is wrapped into it where it repeats."""
     x, y = centers(out)
-    at = _computed(grid_pixels(spark, out), ["line", "sample"], x=x, y=y)
+    at = computed(grid_pixels(spark, out), ["line", "sample"], x=x, y=y)
     lon, lat = target.inverse(F.col("x"), F.col("y"))
-    at = _computed(at, ["line", "sample"], lon=lon, lat=lat)
+    at = computed(at, ["line", "sample"], lon=lon, lat=lat)
     sx, sy = source.forward(F.col("lon"), F.col("lat"))
-    at = _computed(at, ["line", "sample"], sx=sx, sy=sy)
+    at = computed(at, ["line", "sample"], sx=sx, sy=sy)
     u, v = plane_to_pixels(F.col("sx"), F.col("sy"), source, grid)
-    at = _computed(at, ["line", "sample"], u=u, v=v)
+    at = computed(at, ["line", "sample"], u=u, v=v)
     if wraps(source, grid):
         return at.where((F.col("v") >= 0) & (F.col("v") < grid.h) & F.col("u").isNotNull()).withColumn("u", F.col("u") - F.floor(F.col("u") / grid.w) * grid.w)
     return at.where((F.col("v") >= 0) & (F.col("v") < grid.h) & (F.col("u") >= 0) & (F.col("u") < grid.w))
