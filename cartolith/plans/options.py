@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from ..raster import TYPES, PixelType, pixel_type
 from ..sources.isis import Cube
@@ -38,7 +38,8 @@ class Options:
     tile: int = 512
     interleave: bool = False
     bigtiff: str = "auto"
-    warnings: list[str] = field(default_factory=list, compare=False)
+    threads: int = 0  # tasks that make the tiles of a conversion; 0: four for each core
+    cache: int = 96  # megabytes of decoded source blocks that a task keeps
 
     @property
     def wants_warp(self) -> bool:
