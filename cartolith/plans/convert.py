@@ -2,14 +2,17 @@
 
 A task makes an output tile from the cube itself: it reads the window, or for a reprojection the blocks that the tile's
 source positions fall on, so pixels are never shuffled. Overviews group four tiles of doubles into one, level by level.
-Encoded tiles are stored and then appended by the driver one partition at a time.
+Encoded tiles are stored, and then written by tasks at their places in the file, or, in stores that take files front to
+back, appended by the driver one partition at a time. Several cubes are converted side by side.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
+import time
 from collections import OrderedDict
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +24,12 @@ from ..functions.projections import Projection
 from ..operators.pyramid import overview_sizes
 from ..operators.values import Normalization
 from ..operators.warp import source_position, wraps
-from ..raster import Grid, PixelType
-from ..sinks.geotiff import Layout, TileEncoder, metadata_xml, no_data_text, write_file
+from ..raster import Grid, PixelType, format_num, round6
+from ..sinks.geotiff import PLACED, Layout, TileEncoder, metadata_xml, no_data_text, write_file, write_in_place
 from ..sinks.label import label_path, label_text, write_label
-from ..sources.isis import Cube, CubeError, decode, expand_inputs, open_cube, read_window
+from ..sources.files import file_size, is_address
+from ..sources.isis import Cube, decode, expand_inputs, open_cube, read_window
+from ..store import drop, stored
 from .grid import floats, plan_warp
 from .options import Options, OptionError, chosen_bands, chosen_compression, chosen_no_data, output_path, output_type
 
@@ -49,21 +54,21 @@ class ConversionPlan:
 def plan_conversion(path: str, o: Options, several: bool = False) -> ConversionPlan:
     cube = open_cube(path)
     output = output_path(path, o, several)
-    if os.path.abspath(output) == os.path.abspath(path):
-        raise OptionError("the output would overwrite the input")
+    if os.path.abspath(output).casefold() == os.path.abspath(path).casefold():
+        raise OptionError("input and output are the same file")
     bands, kind = chosen_bands(cube, o), output_type(cube, o)
     if o.resample not in ("nearest", "bilinear", "cubic"):
-        raise OptionError(f"unknown --resample {o.resample!r}")
+        raise OptionError(f"--resample is nearest, bilinear or cubic, not {o.resample!r}")
     if o.overview_method not in ("average", "nearest"):
-        raise OptionError(f"unknown --ov-resample {o.overview_method!r}")
+        raise OptionError(f"--ov-resample is average or nearest, not {o.overview_method!r}")
     warnings: list[str] = []
     grid, projection = cube.grid or Grid(cube.w, cube.h, 0.0, 0.0, 1.0, 1.0), cube.projection
     if o.wants_warp:
         if projection is None:
-            raise OptionError(cube.projection_error or "the cube has no Mapping group to reproject from")
+            raise OptionError(cube.projection_error or "a cube without a Mapping group can't be reprojected")
         projection, grid, warnings = plan_warp(cube, o)
     elif projection is None:
-        warnings.append(cube.projection_error or "no Mapping group; the output is not georeferenced")
+        warnings.append(cube.projection_error or "without a Mapping group the output has no georeference")
     return ConversionPlan(cube, output, o, bands, kind, chosen_no_data(kind, o), chosen_compression(kind, o), grid, projection, o.wants_warp, warnings)
 
 
@@ -138,27 +143,37 @@ def sample_tile(reader: BlockReader, bands: list[int], u: np.ndarray, v: np.ndar
     return out
 
 
-def interpolated(place, x: np.ndarray, y: np.ndarray, step: int = 16, tolerance: float = 0.125) -> tuple[np.ndarray, np.ndarray]:
-    """``place(x, y)``, linear along rows in stretches of ``step`` columns where that is within ``tolerance`` pixels at their middles.
+def interpolated(place, x: np.ndarray, y: np.ndarray, tolerance: float = 0.125, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """``place(x, y)``, linear along stretches of rows where that is within ``tolerance`` pixels at their middles.
 
-    Other stretches, and those with a point that has no place, are computed point by point.
+    A row is one stretch at first; one that is not straight enough, or has a point without a place at its ends or middle,
+    is halved. Stretches of at most ``least`` steps are computed point by point.
     """
-    w = x.shape[1]
-    knots = np.unique(np.append(np.arange(0, w, step), w - 1))
-    if len(knots) < 2:
-        return place(x, y)
-    middle = (knots[:-1] + knots[1:]) // 2
-    known, tried = place(x[:, knots], y[:, knots]), place(x[:, middle], y[:, middle])
-    part = np.clip(np.searchsorted(knots, np.arange(w), "right") - 1, 0, len(knots) - 2)
-    share = lambda at, k: (at - knots[k]) / (knots[k + 1] - knots[k])
-    each = np.arange(len(middle))
-    good = np.ones((x.shape[0], len(middle)), bool)
-    for a, b in zip(known, tried):
-        good &= np.abs(a[:, :-1] + (a[:, 1:] - a[:, :-1]) * share(middle, each) - b) <= tolerance
-    out = [a[:, part] + (a[:, part + 1] - a[:, part]) * share(np.arange(w), part) for a in known]
-    rest = ~good[:, part]
-    for a, b in zip(out, place(x[rest], y[rest])):
-        a[rest] = b
+    h, w = x.shape
+    out = np.full((2, h, w), np.nan)
+    row, first, last = np.arange(h), np.zeros(h, np.int64), np.full(h, w - 1)
+    while len(row):
+        short = last - first <= least
+        exact = np.zeros((h, w), bool)
+        for r, a, b in zip(row[short], first[short], last[short]):
+            exact[r, a : b + 1] = True
+        if exact.any():
+            out[:, exact] = place(x[exact], y[exact])
+        row, first, last = row[~short], first[~short], last[~short]
+        if not len(row):
+            break
+        middle = (first + last) // 2
+        at = np.stack([first, middle, last])
+        a, m, b = np.moveaxis(np.stack(place(x[row, at], y[row, at])), 1, 0)
+        share = (middle - first) / (last - first)
+        with np.errstate(invalid="ignore"):
+            good = (np.abs(a + (b - a) * share - m) <= tolerance).all(axis=0)
+        for size in np.unique(last[good] - first[good]):
+            some = np.flatnonzero(good & (last - first == size))
+            steps = np.arange(size + 1)
+            out[:, row[some][:, None], first[some][:, None] + steps] = a[:, some, None] + (b - a)[:, some, None] * (steps / size)
+        row, first, middle, last = row[~good], first[~good], middle[~good], last[~good]
+        row, first, last = np.append(row, row), np.append(first, middle), np.append(middle, last)
     return out[0], out[1]
 
 
@@ -200,23 +215,23 @@ def tile_table(spark: SparkSession, plan: ConversionPlan, lay: Layout, encoder:
     names = BLOCK.replace(" int", "").replace(" binary", "").split(", ")
     groups = [(0, plan.bands)] if lay.interleaved else [(i, [b]) for i, b in enumerate(plan.bands)]
     across, down = lay.tiles(0)
-    jobs = spark.range(across * down * len(groups)).repartition(max(1, min(across * down * len(groups), 4 * spark.sparkContext.defaultParallelism)))
+    jobs = spark.range(across * down * len(groups)).repartition(max(1, min(across * down * len(groups), plan.options.threads or 4 * spark.sparkContext.defaultParallelism)))
     more = len(lay.sizes) > 1
 
     def make(frames):
-        reader = BlockReader(plan.cube, plan.options.raw)
+        reader = BlockReader(plan.cube, plan.options.raw, keep=max(16, plan.options.cache // 2))  # two MB a block
         for frame in frames:
             for i in frame["id"]:
                 plane, rest = divmod(int(i), across * down)
                 ty, tx = divmod(rest, across)
                 yield pd.DataFrame([_row(0, plane, ty, tx, tile_values(plan, reader, ty, tx, groups[plane][1]), encoder, lay.interleaved, more)], columns=names)
 
-    tables = [_stored(jobs.mapInPandas(make, BLOCK))]
+    tables = [stored(jobs.mapInPandas(make, BLOCK), "tiles")]
     t = plan.options.tile
     for level in range(1, len(lay.sizes)):
         keys = ["plane", F.expr("ty div 2"), F.expr("tx div 2")]
         merge = _merger(level, lay, [len(g) for _, g in groups], encoder, plan.options.overview_method, names)
-        tables.append(_stored(tables[-1].drop("payload").groupBy(*keys).applyInPandas(merge, BLOCK)))
+        tables.append(stored(tables[-1].drop("payload").groupBy(*keys).applyInPandas(merge, BLOCK), "tiles"))
     return tables
 
 
@@ -237,22 +252,6 @@ def _merger(level: int, lay: Layout, bands: list[int], encoder: TileEncoder, met
     return merge
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` written in the folder that executors share (spark.checkpoint.dir) and read again."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cartolith-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tiles-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _values(spark: SparkSession, plan: ConversionPlan) -> DataFrame:
     """Pixels of the chosen bands of the whole cube, before any crop or reprojection."""
     from ..sources.isis import register
@@ -262,12 +261,33 @@ def _values(spark: SparkSession, plan: ConversionPlan) -> DataFrame:
     return pixels.where(F.col("band").isin(*(b + 1 for b in plan.bands)))
 
 
+def value_range(spark: SparkSession, plan: ConversionPlan, edge: int = 1024):
+    """lo, hi and the number of pixels without data of the chosen bands of the whole cube: a row from each window."""
+    c, raw, bands = plan.cube, plan.options.raw, sorted(set(plan.bands))
+    across, down = -(-c.w // edge), -(-c.h // edge)
+    count = across * down * len(bands)
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for i in frame["id"]:
+                band, rest = divmod(int(i), across * down)
+                y, x = rest // across * edge, rest % across * edge
+                v = decode(c, read_window(c, bands[band], x, y, min(edge, c.w - x), min(edge, c.h - y)), raw)
+                bad = int(np.isnan(v).sum())
+                rows.append((np.nanmin(v), np.nanmax(v), bad) if bad < v.size else (None, None, bad))
+            yield pd.DataFrame(rows, columns=["lo", "hi", "invalid"]).astype({"lo": "Float64", "hi": "Float64"})
+
+    found = spark.range(count).repartition(min(count, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "lo double, hi double, invalid long")
+    return found.agg(F.min("lo"), F.max("hi"), F.sum("invalid")).first()
+
+
 def normalization(spark: SparkSession, plan: ConversionPlan) -> Normalization:
     from ..operators.values import plan_normalization
 
     top = 1.0 if plan.kind.is_float else plan.kind.range[1]
     m, b = (plan.cube.multiplier, plan.cube.base) if plan.options.raw else (1.0, 0.0)
-    return plan_normalization(_values(spark, plan), top, m, b, plan.warped)
+    return plan_normalization(value_range(spark, plan), top, m, b, plan.warped)
 
 
 def stretches(spark: SparkSession, plan: ConversionPlan) -> tuple[tuple[float, float], ...]:
@@ -294,7 +314,7 @@ def execute(spark: SparkSession, plan: ConversionPlan) -> str:
     size = plan.grid.w * plan.grid.h * samples * kind.size * (4 / 3 if overviews else 1)
     big = {"auto": size > 3.8e9, "if_needed": size > 3.8e9, "if_safer": size > 3.8e9, "yes": True, "true": True, "1": True, "no": False, "false": False, "0": False}.get(o.bigtiff.lower())
     if big is None:
-        raise OptionError(f"unknown --bigtiff {o.bigtiff!r}")
+        raise OptionError(f"--bigtiff is auto, yes or no, not {o.bigtiff!r}")
     items: list[tuple] = []
     if cube.mapping and (name := cube.mapping.text("TargetName")):
         items.append(("TARGET_NAME", None, "", name))
@@ -307,24 +327,56 @@ def execute(spark: SparkSession, plan: ConversionPlan) -> str:
     lay = Layout(sizes, o.tile, samples, kind, code, predictor, interleaved, alpha, bool(norm) and len(plan.bands) == 3, big, no_data_text(plan.no_data, kind), metadata_xml(items), plan.grid, plan.projection)
     encoder = TileEncoder(kind, o.tile, code, level, predictor, plan.no_data, stretch, (norm.lo, norm.k, norm.dn_max) if norm else None, alpha)
     tables = tile_table(spark, plan, lay, encoder)
-    order = ["level", "plane", "ty", "tx"]
-    rows = (r for t in tables for r in t.select(*order, "payload").orderBy(*order).toLocalIterator())
     total = sum(t.agg(F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))).first()[0] for t in tables)
     if not big and total > 0xFFFF0000:
-        raise OptionError("output exceeds 4 GiB; use --bigtiff yes")
-    write_file(plan.output, lay, ((r["level"], r["plane"], r["ty"], r["tx"], bytes(r["payload"])) for r in rows), total)
+        raise OptionError("over 4 GiB need --bigtiff yes")
+    tiles = sum(np.prod(lay.tiles(k)) for k in range(len(sizes))) * (1 if interleaved else samples)
+    if is_address(plan.output) or tiles > PLACED:
+        order = ["level", "plane", "ty", "tx"]
+        rows = (r for t in tables for r in t.select(*order, "payload").orderBy(*order).toLocalIterator())
+        write_file(plan.output, lay, ((r["level"], r["plane"], r["ty"], r["tx"], bytes(r["payload"])) for r in rows), total)
+    else:
+        write_in_place(plan.output, lay, tables, total)
+    for t in tables:
+        drop(t)
     if norm:
         write_label(label_path(plan.output, cube.path), label_text(plan.output, cube, plan.bands, kind, norm, plan.grid, plan.projection, plan.warped))
     return plan.output
 
 
-def convert(spark: SparkSession, inputs: list[str], o: Options) -> tuple[list[str], dict[str, str]]:
-    """Converts each input; returns the files written and the inputs that failed with why."""
+def report(plan: ConversionPlan, seconds: float) -> str:
+    """What a conversion did: size, type, resolution, megabytes in and out, and speed."""
+    c, g = plan.cube, plan.grid
+    before = c.w * c.h * len(plan.bands) * c.type.size / 1e6
+    unit = "" if plan.projection is None else f", {format_num(round6(g.resx))} {'deg' if plan.projection.geographic else 'm'} a pixel"
+    return f"{plan.output}: {len(plan.bands)} of {g.w} x {g.h} {plan.kind.name}{unit}; {before:.1f} MB read, {file_size(plan.output) / 1e6:.1f} MB written, {seconds:.1f} s, {before / max(seconds, 1e-3):.0f} MB/s"
+
+
+#: Cubes that are converted side by side.
+AT_ONCE = 4
+
+
+def convert(spark: SparkSession, inputs: list[str], o: Options, tell: Callable[[str], None] = lambda line: None) -> tuple[list[str], dict[str, str]]:
+    """Converts each input; returns the files written and the inputs that failed with why, in the order of the inputs.
+
+    ``tell`` is called with a line for each warning and each file. Whatever fails in a cube, on the driver or in a task,
+    the others go on.
+    """
     paths = expand_inputs(inputs)
-    written, failed = [], {}
-    for path in paths:
+
+    def one(path: str) -> tuple[str | None, str]:
+        began = time.monotonic()
         try:
-            written.append(execute(spark, plan_conversion(path, o, len(paths) > 1)))
-        except (ValueError, OSError, CubeError) as e:
-            failed[path] = str(e)
-    return written, failed
+            plan = plan_conversion(path, o, len(paths) > 1)
+            for warning in plan.warnings:
+                tell(f"{path}: {warning}")
+            execute(spark, plan)
+            tell(report(plan, time.monotonic() - began))
+            return plan.output, ""
+        except Exception as e:  # a task's error comes as one of Spark's, with the worker's own error as its last line
+            lines = [x.strip() for x in str(e).splitlines() if x.strip() and not x.lstrip().startswith(("at ", "File ", "...", "JVM"))]
+            return None, next((x for x in reversed(lines) if "Error: " in x), lines[0] if lines else type(e).__name__)
+
+    with ThreadPoolExecutor(max(1, min(AT_ONCE, len(paths)))) as pool:
+        done = list(pool.map(one, paths))
+    return [out for out, _ in done if out], {path: why for path, (out, why) in zip(paths, done) if not out}

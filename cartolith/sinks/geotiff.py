@@ -1,20 +1,26 @@
 """Tiled (Big)GeoTIFF: tile encoding for tasks, file layout for the driver.
 
-Tasks turn blocks of doubles into compressed tiles. The driver appends tiles, read one partition at a time and in file
-order, then writes the directories and renames the file into place; a failed write leaves no file.
+Tasks turn blocks of doubles into compressed tiles. Where files can be written at any place, tasks also write them, each
+tile at its offset; in a store that takes files front to back only, the driver appends them one partition at a time. It
+adds header and directories and renames the file into place; a failed write leaves no file.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import struct
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.projections import Projection
+from ..operators.values import tile_offsets
 from ..raster import Grid, PixelType
 from ..sources.files import published
 
@@ -220,19 +226,27 @@ def directories(lay: Layout, at: int) -> bytes:
     return out
 
 
+def _header(lay: Layout, end: int) -> bytes:
+    return struct.pack("<2sHHHQ", b"II", 43, 8, 0, end) if lay.big else struct.pack("<2sHI", b"II", 42, end)
+
+
+def _no_tiles(lay: Layout) -> None:
+    planes = 1 if lay.interleaved else lay.samples
+    lay.offsets = [[0] * (planes * math.prod(lay.tiles(k))) for k in range(len(lay.sizes))]
+    lay.counts = [list(x) for x in lay.offsets]
+
+
 def write_file(path: str, lay: Layout, tiles: Iterable[tuple[int, int, int, int, bytes]], total: int) -> None:
     """Writes tiles (level, plane, ty, tx, data) of ``total`` bytes in the order they come, then the directories.
 
     The sum is known before, so the header can point to the directories and the file is written front to back, as
     object stores ask.
     """
-    planes = 1 if lay.interleaved else lay.samples
-    lay.offsets = [[0] * (planes * math.prod(lay.tiles(k))) for k in range(len(lay.sizes))]
-    lay.counts = [list(x) for x in lay.offsets]
+    _no_tiles(lay)
     at = 16 if lay.big else 8
     end = at + total + total % 2
     with published(path) as f:
-        f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, end) if lay.big else struct.pack("<2sHI", b"II", 42, end))
+        f.write(_header(lay, end))
         for level, plane, ty, tx, data in tiles:
             i = lay.index(level, plane, ty, tx)
             lay.offsets[level][i], lay.counts[level][i] = at, len(data)
@@ -243,6 +257,59 @@ def write_file(path: str, lay: Layout, tiles: Iterable[tuple[int, int, int, int,
         f.write(b"\0" * (end - at) + directories(lay, end))
 
 
+#: Tiles whose offsets are broadcast, eight bytes each; files of more are written front to back.
+PLACED = 4_000_000
+
+
+def write_in_place(path: str, lay: Layout, tables: list[DataFrame], total: int) -> None:
+    """Writes the tiles of ``tables`` (level, plane, ty, tx, payload) by tasks, each at its offset, to a path that all executors share.
+
+    A task that runs again writes the same bytes to the same places.
+    """
+    key = ["level", "plane", "ty", "tx"]
+    sizes = tables[0].select(*key, F.octet_length("payload").cast("long").alias("bytes"))
+    for t in tables[1:]:
+        sizes = sizes.unionByName(t.select(*key, F.octet_length("payload").cast("long").alias("bytes")))
+    _no_tiles(lay)
+    start = 16 if lay.big else 8
+    end = start + total + total % 2
+    for r in tile_offsets(sizes, start).toLocalIterator():
+        i = lay.index(r["level"], r["plane"], r["ty"], r["tx"])
+        lay.offsets[r["level"]][i], lay.counts[r["level"]][i] = r["offset"], r["bytes"]
+    spark = tables[0].sparkSession
+    places = spark.sparkContext.broadcast([np.array(x, np.int64) for x in lay.offsets])
+    part, index = path + ".partial", Layout(lay.sizes, lay.tile, lay.samples, lay.kind, lay.compression, lay.predictor, lay.interleaved).index
+
+    def write(frames):
+        done = 0
+        with open(part, "r+b") as f:
+            for frame in frames:
+                for r in frame.itertuples():
+                    f.seek(int(places.value[r.level][index(r.level, r.plane, r.ty, r.tx)]))
+                    f.write(r.payload)
+                    done += len(r.payload)
+        yield pd.DataFrame({"bytes": [done]})
+
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    try:
+        with open(part, "wb") as f:
+            f.write(_header(lay, end))
+            f.truncate(end)
+        done = sum(t.select(*key, "payload").mapInPandas(write, "bytes long").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] for t in tables)
+        if done != total:
+            raise ValueError(f"tiles have {done} bytes, not the {total} told")
+        with open(part, "r+b") as f:
+            f.seek(end)
+            f.write(directories(lay, end))
+        os.replace(part, path)
+    except BaseException:
+        if os.path.exists(part):
+            os.remove(part)
+        raise
+    finally:
+        places.destroy()
+
+
 def no_data_text(v: float | None, kind: PixelType) -> str:
     """The text that gives the same sample when it is read back."""
     if v is None:

@@ -13,6 +13,7 @@ import fnmatch
 import math
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -282,8 +283,9 @@ class IsisReader(DataSourceReader):
     def partitions(self) -> list[Window]:
         out = []
         (b0, b1), (l0, l1), (s0, s1) = (self.limits[k] for k in ("band", "line", "sample"))
-        for path in self.paths:
-            c = open_cube(path)
+        with ThreadPoolExecutor(16) as pool:  # labels are small, and may lie in a store far away
+            cubes = list(pool.map(open_cube, self.paths))
+        for path, c in zip(self.paths, cubes):
             x0, x1 = max(0, s0), min(c.w - 1, s1)
             y0, y1 = max(0, l0), min(c.h - 1, l1)
             for band in range(c.bands):
@@ -360,3 +362,19 @@ def summary(info):
 
     read, mapped = F.col("samples").isNotNull(), F.col("projection").isNotNull()
     return info.agg(F.count_if(read).alias("readable"), F.count_if(~read).alias("unreadable"), F.count_if(mapped).alias("mapped"), F.sum("bands").alias("bands"), F.min(F.when(mapped, F.col("path"))).alias("reference"))
+
+
+def listing(info, limit: int = 15):
+    """The first files of :func:`cube_info` by path: what they are, or what is wrong with them."""
+    from pyspark.sql import functions as F
+
+    told = F.format_string("%dx%dx%d %s%s", "samples", "lines", "bands", "type", F.coalesce(F.concat(F.lit(", "), F.col("projection")), F.lit("")))
+    return info.orderBy("path").limit(limit).select("path", F.when(F.col("samples").isNotNull(), told).alias("cube"), F.col("error").alias("problem"))
+
+
+def common_folder(paths: list[str]) -> str:
+    """The deepest folder that holds all the files; "" if there is none."""
+    try:
+        return os.path.commonpath([os.path.dirname(p) for p in paths]) if paths else ""
+    except ValueError:
+        return ""
