@@ -1 +1,3 @@
 """Planetary raster analytics on Spark DataFrames."""
+
+__version__ = "0.2.0"
