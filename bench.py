@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 
 from cartolith import queries as raster
 
-HEADLINES = ("normalize_uint16", "stretch_auto", "pyramid_levels", "fwd_polarstereographic", "inv_lambertazimuthal", "warp_nearest", "warp_bilinear_wrapped", "warp_cubic", "reproject_sinusoidal", "predictor2_uint16", "geotiff_write")
+HEADLINES = ("normalize_uint16", "stretch_auto", "pyramid_levels", "fwd_polarstereographic", "inv_lambertazimuthal", "warp_nearest", "warp_bilinear_wrapped", "warp_cubic", "reproject_sinusoidal", "predictor2_uint16", "geotiff_overviews")
 
 
 def image_jobs(folder: str) -> dict:

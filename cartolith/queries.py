@@ -1,24 +1,23 @@
 """Queries over the driver's tables, read as rasters, and DuckDB SQL for each that SQL can express.
 
 Rasters: events as a 100-column image without data where an event is an error; embeddings as an image 64 wide; points
-on a body from order keys. The SQL is written apart from the engine's expressions.
+on a body from order keys; cube files of events, and files made of those. The SQL uses nothing of the engine.
 """
 
 from __future__ import annotations
 
 import math
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.bodies import CENTRIC, D2R, GRAPHIC, Body, local_radius, to_centric, to_graphic
-from .functions.projections import Params, Projection, _series, build
+from .functions.bodies import CENTRIC, D2R, Body, centric_at, graphic_at, radius_at, to_centric, to_graphic
+from .functions.projections import Params, Projection, build
 from .operators import pyramid, values, warp
-from .raster import Grid, TYPES
+from .raster import TYPES, Grid
+from .store import plain, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,6 +154,12 @@ def stretch_fixed(spark, sf_dir):
     return values.stretch(three_bands(spark, sf_dir), 100, image_height(spark, sf_dir), "20,700").select("band", "line", "sample", "value")
 
 
+@query("stretch_stagger", f"WITH {THREE}, h AS (SELECT max(line) + 1 AS h FROM three), n AS (SELECT h, least(h, 1024) AS n FROM h), st AS (SELECT h, n, greatest(1, 100 * n // 1000) AS step FROM n), k AS (SELECT CAST(floor((k + 0.5) * h / n) AS INTEGER) AS kline, k * 7 % step AS phase, step FROM st, range(1024) t(k) WHERE k < n), picked AS (SELECT band, value FROM three JOIN k ON three.line = k.kline WHERE sample >= phase AND (sample - phase) % step = 0) " + _percentile_sql("(0.5::DOUBLE / 100)", "(99.5::DOUBLE / 100)").replace("FROM three", "FROM picked"))
+def stretch_stagger(spark, sf_dir):
+    """Percentiles of a staggered sample: some thousand pixels of each band."""
+    return values.stretch_limits(three_bands(spark, sf_dir), 100, image_height(spark, sf_dir), most=1000)
+
+
 @query("sampled_range", f"WITH {EMB}, h AS (SELECT max(line) + 1 AS h FROM emb), n AS (SELECT h, least(h, 64) AS n FROM h), k AS (SELECT CAST(floor((k + 0.5) * h / n) AS INTEGER) AS line FROM n, range(64) t(k) WHERE k < n) SELECT min(value) AS lo, max(value) AS hi FROM emb WHERE line IN (SELECT line FROM k)")
 def sampled_range(spark, sf_dir):
     h = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
@@ -178,13 +183,21 @@ def overview_nearest(spark, sf_dir):
     return pyramid.halve_nearest(event_image(spark, sf_dir))
 
 
-LEVELS = 3
+#: More levels than an image of 60,000 lines has.
+LEVELS = 12
 
 
-@query("pyramid_levels", f"WITH {EMB}, l0 AS (SELECT * FROM emb WHERE line < 100), l1 AS ({_halved('l0')}), l2 AS ({_halved('l1')}), l3 AS ({_halved('l2')}) " + " UNION ALL ".join(f"SELECT {k} AS level, band, line, sample, value + 0.0 AS value FROM l{k}" for k in range(LEVELS + 1)).replace("value + 0.0 AS value", "round(value, 9) AS value"))
+@query(
+    "pyramid_levels",
+    f"WITH {EMB}, h AS (SELECT greatest(max(line) + 1, 64) AS h FROM emb), l0 AS (SELECT * FROM emb), "
+    + ", ".join(f"l{k} AS ({_halved(f'l{k - 1}')})" for k in range(1, LEVELS + 1))
+    + " "
+    + " UNION ALL ".join(f"SELECT {k} AS level, band, line, sample, round(value, 9) AS value FROM l{k}" + (f" WHERE (SELECT h FROM h) > {16 << k - 1}" if k else "") for k in range(LEVELS + 1)),
+)
 def pyramid_levels(spark, sf_dir):
-    top = vector_image(spark, sf_dir).where("line < 100")
-    return pyramid.pyramid(top, 64, 100, 16).withColumn("value", F.round("value", 9))
+    top = vector_image(spark, sf_dir)
+    h = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    return pyramid.pyramid(top, 64, h, 16).withColumn("value", F.round("value", 9))
 
 
 # Projections
@@ -217,17 +230,30 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("k"), lon.alias("lond"), lat.alias("latd"))
 
 
+#: The series of the transverse Mercator projection (Krueger, 1912; Karney, 2011, eq. 35): coefficients of
+#: sin 2j xi by powers of the third flattening, from the j-th on.
+KRUEGER = [
+    [1 / 2, -2 / 3, 5 / 16, 41 / 180, -127 / 288, 7891 / 37800],
+    [13 / 48, -3 / 5, 557 / 1440, 281 / 630, -1983433 / 1935360],
+    [61 / 240, -103 / 140, 15061 / 26880, 167603 / 181440],
+    [49561 / 161280, -179 / 168, 6601661 / 7257600],
+    [34729 / 80640, -3418889 / 1995840],
+    [212378941 / 319334400],
+]
+
+
 def forward_sql(name: str) -> tuple[str, str, str]:
     """x, y and the condition for a result, as SQL over dl and phi (and g, the planetographic latitude)."""
     body, p = CASES[name]
     a, e = body.a, body.ecc
-    graphic = lambda deg: float(to_graphic(__import__("numpy").float64(deg * D2R), body))
+    graphic = lambda deg: math.atan2(math.sin(deg * D2R) * a**2, math.cos(deg * D2R) * body.b**2)
     t_of = lambda g: f"(tan({math.pi / 4!r} - ({g}) / 2) / pow((1 - {e!r} * sin({g})) / (1 + {e!r} * sin({g})), {e / 2!r}))"
     t_num = lambda g: math.tan(math.pi / 4 - g / 2) / ((1 - e * math.sin(g)) / (1 + e * math.sin(g))) ** (e / 2)
     m_num = lambda g: math.cos(g) / math.sqrt(1 - (e * math.sin(g)) ** 2)
     g0 = graphic(p.get("clat", 0.0))
     if name == "equirectangular":
-        r = local_radius(body, p["clat"])
+        lat = p["clat"] * D2R
+        r = a * body.b / math.sqrt((body.b * math.cos(lat)) ** 2 + (a * math.sin(lat)) ** 2)
         return f"{r * math.cos(p['clat'] * D2R)!r} * dl", f"{r!r} * phi", "true"
     if name == "simplecylindrical":
         return f"{a!r} * dl", f"{a!r} * phi", "true"
@@ -259,7 +285,7 @@ def forward_sql(name: str) -> tuple[str, str, str]:
         return f"{scale} * {d!r} * cos({beta}) * sin(dl)", f"{scale} / {d!r} * ({math.cos(b1)!r} * sin({beta}) - {math.sin(b1)!r} * cos({beta}) * cos(dl))", "true"
     n = (body.a - body.b) / (body.a + body.b)
     scale = p["k0"] * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
-    alpha = _series(n)[0]
+    alpha = [sum(c * n ** (j + k) for k, c in enumerate(row, 1)) for j, row in enumerate(KRUEGER)]
     tau = math.sinh(math.atanh(math.sin(g0)) - e * math.atanh(e * math.sin(g0)))
     xi0 = math.atan(tau)
     y0 = scale * (xi0 + sum(c * math.sin(2 * j * xi0) for j, c in enumerate(alpha, 1)))
@@ -267,7 +293,27 @@ def forward_sql(name: str) -> tuple[str, str, str]:
     xi, eta = f"atan2({t}, cos(dl))", f"atanh(sin(dl) / sqrt(1 + ({t}) * ({t})))"
     x = f"{scale!r} * ({eta}" + "".join(f" + ({c!r}) * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, c in enumerate(alpha, 1)) + ")"
     y = f"{scale!r} * ({xi}" + "".join(f" + ({c!r}) * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, c in enumerate(alpha, 1)) + f") - ({y0!r})"
-    return x, y, f"abs(dl) <= {60 * D2R!r}"
+    return x, y, "abs(dl) <= 1.0"
+
+
+def invertible_sql(name: str) -> str:
+    """Where a point comes back from the plane, as SQL over dl, phi and g: everywhere, or short of a limb or of the far side."""
+    body, p = CASES[name]
+    lat = p.get("clat", 0.0) * D2R
+    g0 = math.atan2(math.sin(lat) * body.a**2, math.cos(lat) * body.b**2)
+    near = f"{math.sin(g0)!r} * sin(g) + {math.cos(g0)!r} * cos(g) * cos(dl)"
+    return {"orthographic": f"{near} >= 0.01", "lambertazimuthal": f"{near} >= -0.99", "transversemercator": f"abs(dl) <= {30 * D2R!r}"}.get(name, "true")
+
+
+def invertible(name: str) -> Column:
+    """The same on Columns of :func:`points`."""
+    body, p = CASES[name]
+    dl = (F.pmod(F.col("lond") - 30 + 540, F.lit(360.0)) - 180) * D2R
+    lat = p.get("clat", 0.0) * D2R
+    g0 = math.atan2(math.sin(lat) * body.a**2, math.cos(lat) * body.b**2)
+    g = to_graphic(F.col("latd") * D2R, body)
+    near = math.sin(g0) * F.sin(g) + math.cos(g0) * F.cos(g) * F.cos(dl)
+    return {"orthographic": near >= 0.01, "lambertazimuthal": near >= -0.99, "transversemercator": F.abs(dl) <= 30 * D2R}.get(name, F.lit(True))
 
 
 def _register_projections() -> None:
@@ -275,29 +321,32 @@ def _register_projections() -> None:
         digits = 9 if name == "geographic" else 3
         x, y, good = forward_sql(name)
         g = f"atan2(sin(phi) * {body.a**2!r}, cos(phi) * {body.b**2!r})"
-        sql = f"WITH {PTS}, q AS (SELECT k, dl, phi, {g} AS g FROM rad WHERE abs(dl) <= {1.0 if name == 'transversemercator' else 4.0}) SELECT k, CASE WHEN {good} THEN round({x}, {digits}) + 0.0 END AS x, CASE WHEN {good} THEN round({y}, {digits}) + 0.0 END AS y FROM q"
+        sql = f"WITH {PTS}, q AS (SELECT k, dl, phi, {g} AS g FROM rad) SELECT k, CASE WHEN {good} THEN round({x}, {digits}) + 0.0 END AS x, CASE WHEN {good} THEN round({y}, {digits}) + 0.0 END AS y FROM q"
 
         def forward(spark, sf_dir, name=name, digits=digits):
             p = projection(name)
             pts = points(spark, sf_dir)
-            if name == "transversemercator":
-                pts = pts.where(F.abs(F.pmod(F.col("lond") - 30 + 540, F.lit(360.0)) - 180) * D2R <= 1.0)
             if name == "orthographic":
-                pts = pts.withColumn("far", ~p.domain.contains(F.col("lond") * D2R, F.col("latd") * D2R, p.lon0))
+                pts = pts.withColumn("seen", p.domain.contains(F.col("lond") * D2R, F.col("latd") * D2R, p.lon0))
+            elif name == "transversemercator":
+                pts = pts.withColumn("seen", F.abs(F.pmod(F.col("lond") - 30 + 540, F.lit(360.0)) - 180) * D2R <= 1.0)
+            else:
+                pts = pts.withColumn("seen", F.lit(True))
             x, y = p.forward(F.col("lond") * D2R, F.col("latd") * D2R)
-            good = ~F.col("far") if name == "orthographic" else F.lit(True)
-            return pts.select("k", F.when(good, F.round(x, digits) + 0.0).alias("x"), F.when(good, F.round(y, digits) + 0.0).alias("y"))
+            pts = warp.computed(warp.computed(pts, ["k", "seen", "lond", "latd"], x=x), ["k", "seen", "x"], y=y)  # one long formula at a time
+            x, y = F.col("x"), F.col("y")
+            return pts.select("k", F.when(F.col("seen"), F.round(x, digits) + 0.0).alias("x"), F.when(F.col("seen"), F.round(y, digits) + 0.0).alias("y"))
 
         def inverse(spark, sf_dir, name=name):
             p = projection(name)
-            pts = points(spark, sf_dir).where("lond between 5 and 55 and latd between 5 and 80")
             x, y = p.forward(F.col("lond") * D2R, F.col("latd") * D2R)
-            plane = pts.select("k", x.alias("x"), y.alias("y"))
+            plane = points(spark, sf_dir).where(invertible(name)).select("k", x.alias("x"), y.alias("y"))
             lon, lat = p.inverse(F.col("x"), F.col("y"))
-            return plane.select("k", F.round(lon / D2R, 7).alias("lon"), F.round(lat / D2R, 7).alias("lat"))
+            east = F.round(F.pmod(F.round(lon / D2R, 5) + 180, F.lit(360.0)) - 180, 5)
+            return plane.select("k", (east + 0.0).alias("lon"), (F.round(lat / D2R, 5) + 0.0).alias("lat"))
 
         query(f"fwd_{name}", sql)(forward)
-        query(f"inv_{name}", f"WITH {PTS} SELECT k, round(lond, 7) AS lon, round(latd, 7) AS lat FROM pts WHERE lond BETWEEN 5 AND 55 AND latd BETWEEN 5 AND 80")(inverse)
+        query(f"inv_{name}", f"WITH {PTS}, q AS (SELECT pts.*, dl, phi, {g} AS g FROM rad JOIN pts USING (k)) SELECT k, round((round(q.lond, 5) + 540) % 360 - 180, 5) + 0.0 AS lon, round(q.latd, 5) + 0.0 AS lat FROM q WHERE {invertible_sql(name)}")(inverse)
 
 
 _register_projections()
@@ -315,9 +364,9 @@ def body_latitudes(spark, sf_dir):
     """Latitude conversions with a body from a dimension table, broadcast (25 rows)."""
     a = F.lit(1e6) + 1000 * F.col("n_nationkey")
     bodies = table(spark, sf_dir, "nation").select("n_nationkey", a.alias("a"), (a * (1 - F.lit(0.001) * (F.col("n_nationkey") % 3))).alias("b"))
-    phi, a, b = F.col("latd") * D2R, F.col("a"), F.col("b")
+    phi, axes = F.col("latd") * D2R, (F.col("a"), F.col("b"))
     joined = points(spark, sf_dir).join(F.broadcast(bodies), F.col("k") % 25 == F.col("n_nationkey"))
-    return joined.select("k", "n_nationkey", F.round(F.atan2(F.sin(phi) * a * a, F.cos(phi) * b * b), 9).alias("graphic"), F.round(F.atan2(F.sin(phi) * b * b, F.cos(phi) * a * a), 9).alias("centric"), F.round(a * b / F.hypot(b * F.cos(phi), a * F.sin(phi)), 3).alias("radius"))
+    return joined.select("k", "n_nationkey", F.round(graphic_at(phi, *axes), 9).alias("graphic"), F.round(centric_at(phi, *axes), 9).alias("centric"), F.round(radius_at(phi, *axes), 3).alias("radius"))
 
 
 @query("latitude_conversion", f"WITH {PTS} SELECT k, round(atan2(sin(phi) * {MARS.a**2!r}, cos(phi) * {MARS.b**2!r}), 9) AS graphic, round(phi, 9) AS back FROM rad")
@@ -329,7 +378,7 @@ def latitude_conversion(spark, sf_dir):
 # Warps
 
 SX, SY = 1.0307764064, 0.9899494937
-POS = f"pos AS (SELECT CAST(l AS INTEGER) AS line, CAST(s AS INTEGER) AS sample, (s + 0.5::DOUBLE) * {SX}::DOUBLE AS u, (l + 0.5::DOUBLE) * {SY}::DOUBLE AS v FROM range(97) a(l), range(100) b(s)), h AS (SELECT max(line) + 1 AS h FROM evt), good AS (SELECT line, sample, {{u}} AS u, v FROM pos, h WHERE v < h{{where}})"
+POS = f"pos AS (SELECT CAST(l AS INTEGER) AS line, CAST(s AS INTEGER) AS sample, (s + 0.5::DOUBLE) * {SX}::DOUBLE AS u, (l + 0.5::DOUBLE) * {SY}::DOUBLE AS v FROM (SELECT unnest(range(CAST(ceil((max(line) + 1) / {SY}::DOUBLE) AS BIGINT))) AS l FROM evt) a, range(100) b(s)), h AS (SELECT max(line) + 1 AS h FROM evt), good AS (SELECT line, sample, {{u}} AS u, v FROM pos, h WHERE v < h{{where}})"
 
 
 def _warp_sql(kernel: str, wrap: bool) -> str:
@@ -356,7 +405,7 @@ def _warp_sql(kernel: str, wrap: bool) -> str:
 
 def _warped(spark, sf_dir, kernel: str, wrap: bool) -> DataFrame:
     h = image_height(spark, sf_dir)
-    at = warp.grid_pixels(spark, Grid(100, 97, 0, 0, 1, 1)).select("line", "sample", ((F.col("sample") + F.lit(0.5)) * F.lit(SX)).alias("u"), ((F.col("line") + F.lit(0.5)) * F.lit(SY)).alias("v"))
+    at = warp.grid_pixels(spark, Grid(100, math.ceil(h / SY), 0, 0, 1, 1)).select("line", "sample", ((F.col("sample") + F.lit(0.5)) * F.lit(SX)).alias("u"), ((F.col("line") + F.lit(0.5)) * F.lit(SY)).alias("v"))
     at = at.where(F.col("v") < h)
     at = at.withColumn("u", F.col("u") - F.floor(F.col("u") / 100) * 100) if wrap else at.where("u < 100")
     return warp.resample(at, event_image(spark, sf_dir), Grid(100, h, 0.0, 0.0, 1.0, 1.0), kernel, wrap)
@@ -388,13 +437,26 @@ ORACLES["reproject_sinusoidal"] = (
 )
 
 
-@query("plan_grid_bounds", f"WITH p AS (SELECT (-40 + 100.0::DOUBLE * i / 256) * {D2R!r} AS lon, (-20 + 90.0::DOUBLE * j / 256) * {D2R!r} AS lat FROM range(257) a(i), range(257) b(j) WHERE i % 256 = 0 OR j % 256 = 0 OR (i % 8 = 0 AND j % 8 = 0)) SELECT round(min({MOON.a!r} * lon * cos(lat)), 3) AS xmin, round(max({MOON.a!r} * lon * cos(lat)), 3) AS xmax, round(min({MOON.a!r} * lat), 3) AS ymin, round(max({MOON.a!r} * lat), 3) AS ymax, count(*) AS points FROM p")
+#: A box around a part of the points, in degrees, and the resolution in metres of a grid over it.
+BOX = "SELECT min(lond) / 3 AS w, min(latd) / 2 AS s, max(lond) / 2 AS e, max(latd) / 3 AS n FROM pts"
+STEP = 20000.0
+
+
+@query(
+    "plan_grid_bounds",
+    f"WITH {PTS}, box AS ({BOX}), p AS (SELECT (w + (e - w) * i / 256.0::DOUBLE) * {D2R!r} AS lon, (s + (n - s) * j / 256.0::DOUBLE) * {D2R!r} AS lat FROM box, range(257) a(i), range(257) b(j) WHERE i % 256 = 0 OR j % 256 = 0 OR (i % 8 = 0 AND j % 8 = 0)), "
+    f"q AS (SELECT floor(min({MOON.a!r} * lon * cos(lat)) / {STEP} + 1e-6) AS left_, ceil(max({MOON.a!r} * lon * cos(lat)) / {STEP} - 1e-6) AS right_, floor(min({MOON.a!r} * lat) / {STEP} + 1e-6) AS low, ceil(max({MOON.a!r} * lat) / {STEP} - 1e-6) AS top FROM p) "
+    f"SELECT CAST(right_ - left_ AS INTEGER) AS w, CAST(top - low AS INTEGER) AS h, left_ * {STEP}::DOUBLE AS x0, top * {STEP}::DOUBLE AS y0, {STEP}::DOUBLE AS resx, {STEP}::DOUBLE AS resy FROM q",
+)
 def plan_grid_bounds(spark, sf_dir):
-    i, j = F.expr("cast(id div 257 as double)"), (F.col("id") % 257).cast("double")
-    edge = (i % 256 == 0) | (j % 256 == 0) | ((i % 8 == 0) & (j % 8 == 0))
-    x, y = build(Params("sinusoidal", MOON)).forward((-40 + 100 * i / 256) * D2R, (-20 + 90 * j / 256) * D2R)
-    lattice = spark.range(257 * 257).where(edge).select(x.alias("x"), y.alias("y"))
-    return lattice.agg(F.round(F.min("x"), 3).alias("xmin"), F.round(F.max("x"), 3).alias("xmax"), F.round(F.min("y"), 3).alias("ymin"), F.round(F.max("y"), 3).alias("ymax"), F.count("*").alias("points"))
+    """The grid of a box around points, on a sinusoidal map."""
+    from .plans.grid import GridRequest, plan_grid
+    from .sources.isis import open_cube
+
+    box = points(spark, sf_dir).agg(F.min("lond") / 3, F.min("latd") / 2, F.max("lond") / 2, F.max("latd") / 3).first()
+    cube = open_cube(demo_cube(plain(shared_folder(spark, "demo"))))
+    grid, _ = plan_grid(cube, build(Params("sinusoidal", MOON)), GridRequest(res=STEP, bounds=tuple(box)))
+    return spark.createDataFrame([(grid.w, grid.h, grid.x0, grid.y0, grid.resx, grid.resy)], "w int, h int, x0 double, y0 double, resx double, resy double")
 
 
 # Files
@@ -406,14 +468,14 @@ def predictor2_uint16(spark, sf_dir):
     return values.predictor2(image, 16, 32)
 
 
-TILES = "t AS (SELECT CAST(k // 50 AS INTEGER) AS level, CAST(k // 10 % 5 AS INTEGER) AS plane, CAST(k // 5 % 2 AS INTEGER) AS ty, CAST(k % 5 AS INTEGER) AS tx, 100 + (k * 37) % 91 AS bytes FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey < 1500))"
+TILES = "t AS (SELECT CAST(k % 3 AS INTEGER) AS level, CAST(k // 3 % 5 AS INTEGER) AS plane, CAST(k // 150 AS INTEGER) AS ty, CAST(k // 15 % 10 AS INTEGER) AS tx, 100 + (k * 37) % 91 AS bytes FROM (SELECT o_orderkey AS k FROM orders))"
 
 
 @query("tile_offsets", f"WITH {TILES} SELECT level, plane, ty, tx, bytes, CAST(16 + coalesce(sum(bytes) OVER (ORDER BY level, plane, ty, tx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM t")
 def tile_offsets(spark, sf_dir):
     k = F.col("o_orderkey")
     part = lambda e, name: F.expr(f"cast({e} as int)").alias(name)
-    tiles = table(spark, sf_dir, "orders").where(k < 1500).select(part("o_orderkey div 50", "level"), part("o_orderkey div 10 % 5", "plane"), part("o_orderkey div 5 % 2", "ty"), part("o_orderkey % 5", "tx"), (100 + k * 37 % 91).alias("bytes"))
+    tiles = table(spark, sf_dir, "orders").select(part("o_orderkey % 3", "level"), part("o_orderkey div 3 % 5", "plane"), part("o_orderkey div 150", "ty"), part("o_orderkey div 15 % 10", "tx"), (100 + k * 37 % 91).alias("bytes"))
     return values.tile_offsets(tiles, 16)
 
 
@@ -422,12 +484,8 @@ def morton_order(spark, sf_dir):
     return event_image(spark, sf_dir).select("line", "sample", values.morton(F.col("sample"), F.col("line"), 12).alias("z"))
 
 
-def write_cube(path: str, bands: list, kind: str = "float32", base: float = 0.0, multiplier: float = 1.0, mapping: dict | None = None, tile: tuple[int, int] | None = None, msb: bool = False, names: list[str] | None = None) -> str:
-    """A small cube file, for tests and demonstrations."""
-    import numpy as np
-
-    stack = np.stack([np.asarray(b) for b in bands])
-    n, h, w = stack.shape
+def cube_label(w: int, h: int, n: int, kind: str = "float32", base: float = 0.0, multiplier: float = 1.0, mapping: dict | None = None, tile: tuple[int, int] | None = None, msb: bool = False, names: list[str] | None = None) -> bytes:
+    """A cube's label, filled up to 4,096 bytes."""
     lines = ["Object = IsisCube", " Object = Core", "  StartByte = 4097", f"  Format = {'Tile' if tile else 'BandSequential'}"]
     lines += [f"  TileSamples = {tile[0]}", f"  TileLines = {tile[1]}"] if tile else []
     lines += [f"  Group = Dimensions\n   Samples = {w}\n   Lines = {h}\n   Bands = {n}\n  End_Group", f"  Group = Pixels\n   Type = {TYPES[kind].isis}\n   ByteOrder = {'Msb' if msb else 'Lsb'}\n   Base = {base!r}\n   Multiplier = {multiplier!r}\n  End_Group", " End_Object"]
@@ -435,24 +493,29 @@ def write_cube(path: str, bands: list, kind: str = "float32", base: float = 0.0,
         lines.append(f" Group = BandBin\n  Name = ({', '.join(names)})\n End_Group")
     if mapping:
         lines += [" Group = Mapping", *(f"  {k} = {v}" for k, v in mapping.items()), " End_Group"]
+    return "\n".join([*lines, "End_Object", "End", ""]).encode().ljust(4096, b"\0")
+
+
+def write_cube(path: str, bands: list, kind: str = "float32", base: float = 0.0, multiplier: float = 1.0, mapping: dict | None = None, tile: tuple[int, int] | None = None, msb: bool = False, names: list[str] | None = None) -> str:
+    """A small cube file, for tests and demonstrations."""
+    import numpy as np
+
+    from .sources.files import published
+
+    stack = np.stack([np.asarray(b) for b in bands])
+    n, h, w = stack.shape
     data = stack.astype(TYPES[kind].dtype.newbyteorder(">" if msb else "<"))
     if tile:
         ts, tl = tile
         data = np.pad(data, ((0, 0), (0, -h % tl), (0, -w % ts)))
         data = data.reshape(n, data.shape[1] // tl, tl, data.shape[2] // ts, ts).transpose(0, 1, 3, 2, 4)
-    with open(path, "wb") as f:
-        f.write("\n".join([*lines, "End_Object", "End", ""]).encode().ljust(4096, b"\0") + data.tobytes())
+    with published(path) as f:
+        f.write(cube_label(w, h, n, kind, base, multiplier, mapping, tile, msb, names) + data.tobytes())
     return path
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one in local mode without such a setting."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    if base.startswith("file:") or base.startswith("/"):
-        path = os.path.join(base.removeprefix("file://").removeprefix("file:"), f"demo-{uuid.uuid4().hex}")
-        os.makedirs(path)
-        return path
-    return tempfile.mkdtemp(prefix="cartolith-")
+def moon_mapping(res: float, x0: float, y0: float) -> dict:
+    return {"ProjectionName": "SimpleCylindrical", "TargetName": "Moon", "EquatorialRadius": MOON.a, "PolarRadius": MOON.b, "LatitudeType": "Planetocentric", "LongitudeDirection": "PositiveEast", "CenterLongitude": 0.0, "CenterLatitude": 0.0, "PixelResolution": repr(res), "UpperLeftCornerX": repr(x0), "UpperLeftCornerY": repr(y0)}
 
 
 def demo_cube(folder: str) -> str:
@@ -462,56 +525,196 @@ def demo_cube(folder: str) -> str:
     y, x = np.mgrid[0:60, 0:120]
     bands = [np.where((7 * x + 3 * y + b) % 13 == 0, TYPES["float32"].no_data, 5.0 * x - 3.0 * y + 1000.0 * b) for b in (1, 2)]
     res = 2 * math.pi * MOON.a / 120
-    mapping = {"ProjectionName": "SimpleCylindrical", "TargetName": "Moon", "EquatorialRadius": MOON.a, "PolarRadius": MOON.b, "LatitudeType": "Planetocentric", "LongitudeDirection": "PositiveEast", "CenterLongitude": 0.0, "CenterLatitude": 0.0, "PixelResolution": repr(res), "UpperLeftCornerX": repr(-60 * res), "UpperLeftCornerY": repr(30 * res)}
-    return write_cube(os.path.join(folder, "demo.cub"), bands, mapping=mapping, tile=(32, 16), names=["RED", "BLUE"])
+    return write_cube(os.path.join(folder, "demo.cub"), bands, mapping=moon_mapping(res, -60 * res, 30 * res), tile=(32, 16), names=["RED", "BLUE"])
+
+
+#: Events of a cube that a task puts together at once: whole lines.
+CHUNK = 100_000
 
 
-@query("isis_scan")
+def event_cube(spark: SparkSession, sf_dir: str, kind: str = "float64") -> str:
+    """The path of a new cube of all events: the image of :func:`event_image` and, as its second band, twice its values.
+
+    Tasks put lines together; the driver writes them front to back. The cube lies on the Moon, 160 degrees high at most.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from .sources.files import published
+
+    h = image_height(spark, sf_dir)
+    special, dtype = TYPES[kind].no_data, TYPES[kind].dtype
+    events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"), F.expr(f"event_id div {CHUNK}").alias("chunk"))
+
+    def lines(frame: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(frame["chunk"].iloc[0])
+        out = np.full(min(CHUNK, h * 100 - chunk * CHUNK), np.nan)
+        out[frame["event_id"].to_numpy() - chunk * CHUNK] = frame["value"].to_numpy(np.float64, na_value=np.nan)
+        each = [np.where(np.isnan(v), special, v).astype(dtype).tobytes() for v in (out, 2 * out)]
+        return pd.DataFrame({"chunk": [chunk], "one": each[:1], "two": each[1:]})
+
+    from .store import stored
+
+    chunks = stored(events.groupBy("chunk").applyInPandas(lines, "chunk long, one binary, two binary"), "lines")
+    res = event_resolution(h)
+    path = os.path.join(plain(shared_folder(spark, "events")), "events.cub")
+    with published(path) as f:
+        f.write(cube_label(100, h, 2, kind, mapping=moon_mapping(res, -50 * res, h / 2 * res), names=["VALUE", "TWICE"]))
+        for band in ("one", "two"):
+            for r in chunks.select("chunk", band).orderBy("chunk").toLocalIterator():
+                f.write(r[band])
+    return path
+
+
+def event_resolution(h: int) -> float:
+    """Metres a pixel such that the image is 160 degrees high, or 320 wide, at most."""
+    return MOON.a * D2R * min(160 / h, 3.2)
+
+
+EV2 = f"{EVT}, two AS (SELECT CAST(b AS INTEGER) AS band, line, sample, value * b AS value FROM evt, range(1, 3) t(b))"
+
+
+@query("isis_scan", f"WITH {EV2} SELECT band, line, sample, value FROM two")
 def isis_scan(spark, sf_dir):
-    """A cube file through the data source."""
+    """A cube file of all events through the data source."""
     from .sources.isis import register
 
     register(spark)
-    pixels = spark.read.format("isis").load(demo_cube(shared_folder(spark))).where("band = 2 and line between 10 and 20")
-    return pixels.groupBy("line").agg(F.count("value").alias("valid"), F.sum("value").alias("total"))
+    return spark.read.format("isis").load(event_cube(spark, sf_dir)).drop("cube")
+
 
+RES_SQL = f"{MOON.a!r}::DOUBLE * {D2R!r}::DOUBLE * least(160.0::DOUBLE / h, 3.2::DOUBLE)"
 
-@query("cube_info")
+
+@query("cube_info", f"WITH {EVT}, h AS (SELECT max(line) + 1 AS h FROM evt), r AS (SELECT h, {RES_SQL} AS res FROM h) SELECT 100 AS samples, h AS lines, 2 AS bands, 'float64' AS type, 'Lsb' AS byte_order, 0.0::DOUBLE AS base, 1.0::DOUBLE AS multiplier, 'BandSequential' AS format, 'VALUE,TWICE' AS band_names, 'planetocentric' AS latitude_type, round(res, 6) AS resolution, round(-50 * res, 3) AS x0, round(h * res / 2, 3) AS y0 FROM r")
 def info(spark, sf_dir):
     from .sources.isis import cube_info
 
-    return cube_info(spark, [demo_cube(shared_folder(spark))]).drop("path")
+    told = cube_info(spark, [event_cube(spark, sf_dir)])
+    return told.select("samples", "lines", "bands", "type", "byte_order", "base", "multiplier", "format", F.array_join("band_names", ",").alias("band_names"), "latitude_type", F.round("resolution", 6).alias("resolution"), F.round("x0", 3).alias("x0"), F.round("y0", 3).alias("y0"))
 
 
-@query("label_parse")
+@query("label_parse", "SELECT n_nationkey, 'A' AS path, 0 AS ord, 'k' || n_nationkey AS keyword, '1|two words|3' AS values FROM nation UNION ALL SELECT n_nationkey, 'A/B', 0, 'n', CAST(n_nationkey AS VARCHAR) FROM nation")
 def label_parse(spark, sf_dir):
     from .sources.pvl import label_rows
 
     text = 'Object = A\n /* note */ k%d = (1, "two words", 3 <m>)\n Group = B\n  n = %d\n End_Group\nEnd_Object\nEnd'
     labels = table(spark, sf_dir, "nation").select("n_nationkey", F.format_string(text, F.col("n_nationkey"), F.col("n_nationkey")).alias("text"))
-    return label_rows(labels, "n_nationkey", "text")
+    return label_rows(labels, "n_nationkey", "text").select("n_nationkey", F.array_join("path", "/").alias("path"), "ord", "keyword", F.array_join("values", "|").alias("values"))
+
+
+#: Specs and the PROJ strings that they mean on the Moon, written by PROJ's own rules.
+PLANE = "+x_0=0 +y_0=0 +R=1737400 +units=m +no_defs"
+SPECS = {
+    "sinu": f"+proj=sinu +lon_0=0 {PLANE}",
+    "ortho": f"+proj=ortho +lat_0=0 +lon_0=0 {PLANE}",
+    "ps:south": f"+proj=stere +lat_0=-90 +lon_0=0 +k=1 {PLANE}",
+    "ps:north,clon=30": f"+proj=stere +lat_0=90 +lon_0=30 +k=1 {PLANE}",
+    "merc": f"+proj=merc +lon_0=0 +k=1 {PLANE}",
+    "tm": f"+proj=tmerc +lat_0=0 +lon_0=0 +k=1 {PLANE}",
+    "tm:clat=10,clon=12,k=0.9996": f"+proj=tmerc +lat_0=10 +lon_0=12 +k=0.9996 {PLANE}",
+    "lcc:par1=10,par2=40": f"+proj=lcc +lat_1=10 +lat_2=40 +lat_0=0 +lon_0=0 {PLANE}",
+    "laea:clat=20": f"+proj=laea +lat_0=20 +lon_0=0 {PLANE}",
+    "geo": "+proj=longlat +R=1737400 +no_defs",
+    "eqc:clat=30": f"+proj=eqc +lat_ts=30 +lat_0=0 +lon_0=0 {PLANE}",
+    "+proj=stere +lat_0=90 +lat_ts=70": f"+proj=stere +lat_0=90 +lat_ts=70 +lon_0=0 {PLANE}",
+    "+proj=eqc +lat_ts=30 +lat_0=10 +units=m +no_defs": f"+proj=eqc +lat_ts=30 +lat_0=10 +lon_0=0 {PLANE}",
+    "+proj=merc +lat_0=5 +lon_0=7": f"+proj=merc +lon_0=7 +k=1 {PLANE}",
+}
 
 
-@query("spec_parse")
+@query("spec_parse", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in SPECS.items()) + ") t(spec, proj)")
 def spec_parse(spark, sf_dir):
     from .plans.spec import parse_spec
     from .sources.isis import open_cube
 
-    cube = open_cube(demo_cube(shared_folder(spark)))
-    specs = ["sinu", "ortho", "ps:south", "merc:clat=20", "tm", "lcc:par1=10,par2=40", "laea", "geo", "eqc:clat=30", "+proj=stere +lat_0=90 +lat_ts=70"]
-    return spark.createDataFrame([(s, parse_spec(s, cube).proj) for s in specs], "spec string, proj string")
+    cube = open_cube(demo_cube(plain(shared_folder(spark, "demo"))))
+    return spark.createDataFrame([(s, parse_spec(s, cube).proj) for s in SPECS], "spec string, proj string")
 
 
-@query("geotiff_write")
-def geotiff_write(spark, sf_dir):
-    """A reprojection with overviews to a file; the result is the file's size and levels."""
+def converted(spark: SparkSession, sf_dir: str, **options) -> str:
+    """The path of a GeoTIFF that a cube of all events was converted to."""
     from .plans.convert import execute, plan_conversion
     from .plans.options import Options
 
-    folder = shared_folder(spark)
-    plan = plan_conversion(demo_cube(folder), Options(output=folder + "/", proj="sinu", overviews=True, tile=32))
-    path = execute(spark, plan)
-    return spark.createDataFrame([(plan.grid.w, plan.grid.h, os.path.getsize(path) > 1000)], "w int, h int, written boolean")
+    cube = event_cube(spark, sf_dir)
+    return execute(spark, plan_conversion(cube, Options(output=os.path.dirname(cube) + "/out.tif", **options)))
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    from .sources.geotiff import register
+
+    register(spark)
+    return spark.read.format("geotiff").load(path)
+
+
+@query("geotiff_copy", f"WITH {EV2} SELECT band, line, sample, coalesce(value, -1.0) AS value FROM two")
+def geotiff_copy(spark, sf_dir):
+    """Doubles, deflate, the predictor for floats; read back."""
+    return read_back(spark, converted(spark, sf_dir, nodata="-1", tile=64)).drop("level")
+
+
+@query("geotiff_interleaved", f"WITH {EV2}, w AS (SELECT band, line, sample, {ROUND.format('value')} AS v FROM two) SELECT band, line, sample, coalesce(least(greatest(v, -32768.0), 32767.0), -32768.0)::DOUBLE AS value FROM w")
+def geotiff_interleaved(spark, sf_dir):
+    """16-bit integers by pixel, zstd, the predictor for integers, in a BigTIFF; read back."""
+    return read_back(spark, converted(spark, sf_dir, type="int16", compress="zstd", interleave=True, predictor=2, bigtiff="yes", tile=32)).drop("level")
+
+
+@query("geotiff_overviews", f"WITH {EV2}, h AS (SELECT greatest(max(line) + 1, 100) AS h FROM two), l0 AS (SELECT * FROM two), " + ", ".join(f"l{k} AS ({_halved(f'l{k - 1}')})" for k in range(1, LEVELS + 1)) + " " + " UNION ALL ".join(f"SELECT {k} AS level, band, line, sample, round(coalesce(value, -1.0), 6) AS value FROM l{k}" + (f" WHERE (SELECT h FROM h) > {64 << k - 1}" if k else "") for k in range(LEVELS + 1)))
+def geotiff_overviews(spark, sf_dir):
+    """All levels of a file without compression; read back."""
+    return read_back(spark, converted(spark, sf_dir, nodata="-1", tile=64, overviews=True, compress="none")).withColumn("value", F.round("value", 6))
+
+
+@query("geotiff_normalized", f"WITH {EV2}, s AS (SELECT min(value) AS lo, max(value) AS hi FROM two) SELECT band, line, sample, CASE WHEN value IS NULL THEN 0.0 ELSE floor(least(greatest((value - lo) * (65535.0::DOUBLE / (hi - lo)), 0.0), 65535.0) + 0.5) END AS value FROM two, s UNION ALL SELECT 3, line, sample, CASE WHEN value IS NULL THEN 0.0 ELSE 65535.0 END FROM evt")
+def geotiff_normalized(spark, sf_dir):
+    """Both bands on one range of 16 bits, with an alpha channel; read back."""
+    return read_back(spark, converted(spark, sf_dir, normalize="uint16", tile=64)).drop("level")
+
+
+@query("geotiff_stretched", f"WITH {EV2}, s AS (SELECT band AS b, min(value) AS lo, max(value) AS hi FROM two GROUP BY band) SELECT band, line, sample, CASE WHEN value IS NULL THEN 0.0 ELSE floor(least(greatest(1 + (value - lo) * 254 / (hi - lo), 1.0), 255.0) + 0.5) END::DOUBLE AS value FROM two JOIN s ON band = b")
+def geotiff_stretched(spark, sf_dir):
+    """8 bits between the extremes of each band; read back."""
+    return read_back(spark, converted(spark, sf_dir, stretch="minmax", tile=64)).drop("level")
+
+
+#: An output grid of a sinusoidal map, in metres: west, south, east, north, columns, lines.
+OUT = (-2713129.7, -2411313.1, 2811717.3, 2391911.9, 90, 70)
+
+
+@query(
+    "geotiff_warped",
+    f"WITH {EV2}, r AS (SELECT max(line) + 1 AS h FROM evt), m AS (SELECT h, {RES_SQL} AS res FROM r), g AS (SELECT CAST(l AS INTEGER) AS line, CAST(s AS INTEGER) AS sample, {OUT[0]}::DOUBLE + (s + 0.5::DOUBLE) * {(OUT[2] - OUT[0]) / OUT[4]!r} AS x, ({OUT[3]}::DOUBLE - (l + 0.5::DOUBLE) * {(OUT[3] - OUT[1]) / OUT[5]!r}) / {MOON.a!r} AS phi FROM range({OUT[5]}) a(l), range({OUT[4]}) b(s)), "
+    f"p AS (SELECT line, sample, x / cos(phi) AS east, phi * {MOON.a!r} AS north FROM g), q AS (SELECT p.line AS l2, p.sample AS s2, CAST(floor((east + 50 * res) / res) AS INTEGER) AS ss, CAST(floor((h * res / 2 - north) / res) AS INTEGER) AS sl FROM p, m WHERE abs(east) <= {math.pi * MOON.a!r}) "
+    "SELECT CAST(b AS INTEGER) AS band, g.line, g.sample, coalesce(t.value, -1.0) AS value FROM g CROSS JOIN range(1, 3) k(b) LEFT JOIN q ON g.line = q.l2 AND g.sample = q.s2 LEFT JOIN two t ON t.band = b AND t.line = q.sl AND t.sample = q.ss",
+)
+def geotiff_warped(spark, sf_dir):
+    """A reprojection of both bands to a sinusoidal map of a given extent; read back."""
+    w, s, e, n, columns, lines = OUT
+    return read_back(spark, converted(spark, sf_dir, proj="sinu", extent=f"{w},{s},{e},{n}", size=f"{columns},{lines}", resample="nearest", nodata="-1", tile=32)).drop("level")
+
+
+def _tags_sql() -> str:
+    """Directories of a two-band BigTIFF of doubles, deflate, predictor 3, tiles of 64: level by level."""
+    fixed = {258: "64,64", 259: "8", 262: "1", 277: "2", 284: "2", 317: "3", 322: "64", 323: "64", 338: "0", 339: "3,3"}
+    size = lambda n, k: f"CAST(ceil({n} / {1 << k}.0::DOUBLE) AS BIGINT)"
+    rows = []
+    for k in range(LEVELS + 1):
+        own = {254: f"'{int(k > 0)}'", 256: f"CAST({size('100', k)} AS VARCHAR)", 257: f"CAST({size('h', k)} AS VARCHAR)"} | {t: f"'{v}'" for t, v in fixed.items()}
+        tiles = f"2 * CAST(ceil({size('100', k)} / 64.0::DOUBLE) AS BIGINT) * CAST(ceil({size('h', k)} / 64.0::DOUBLE) AS BIGINT)"
+        own |= {324: f"CAST({tiles} AS VARCHAR) || ' values'", 325: f"CAST({tiles} AS VARCHAR) || ' values'"}
+        rows += [f"SELECT {k} AS level, {t} AS tag, {v} AS values FROM h" + (f" WHERE greatest(h, 100) > {64 << k - 1}" if k else "") for t, v in own.items()]
+    return f"WITH {EVT}, h AS (SELECT max(line) + 1 AS h FROM evt) " + " UNION ALL ".join(rows)
+
+
+@query("geotiff_tags", _tags_sql())
+def geotiff_tags(spark, sf_dir):
+    """The directories of a file with overviews, but for its georeference and texts."""
+    from .sources.geotiff import tag_rows
+
+    rows = tag_rows(spark, converted(spark, sf_dir, tile=64, overviews=True, bigtiff="yes")).where("tag < 1000")
+    text = F.when(F.col("tag").isin(324, 325), F.concat(F.size("values").cast("string"), F.lit(" values"))).otherwise(F.array_join("values", ","))
+    return rows.select("level", "tag", text.alias("values"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,3 +317,88 @@ def test_summary(spark, demo, tmp_path):
     (tmp_path / "bad.cub").write_text("End")
     row = summary(cube_info(spark, [demo, str(tmp_path / "bad.cub")])).first()
     assert (row["readable"], row["unreadable"], row["mapped"], row["bands"], row["reference"]) == (1, 1, 1, 2, demo)
+
+
+def test_listing_and_common_folder(spark, demo, tmp_path):
+    from cartolith.sources.isis import common_folder, cube_info, listing
+
+    (tmp_path / "bad.cub").write_text("End")
+    rows = listing(cube_info(spark, [demo, str(tmp_path / "bad.cub")]), limit=15).collect()
+    by_name = {os.path.basename(r["path"]): r for r in rows}
+    assert by_name["demo.cub"]["cube"].startswith("120x60x2 float32, ") and by_name["demo.cub"]["problem"] is None
+    assert by_name["bad.cub"]["cube"] is None and "IsisCube" in by_name["bad.cub"]["problem"]
+    assert listing(cube_info(spark, [demo, str(tmp_path / "bad.cub")]), limit=1).count() == 1
+    assert common_folder(["/a/b/c.cub", "/a/b/d/e.cub"]) == "/a/b" and common_folder([]) == "" and common_folder(["/a/x.cub", "b.cub"]) == ""
+
+
+def test_one_bad_cube_does_not_end_a_batch(spark, tmp_path, monkeypatch):
+    from cartolith.plans import convert as plans
+
+    good, cut = (write_cube(str(tmp_path / n), [np.arange(64.0).reshape(8, 8)]) for n in ("good.cub", "other.cub"))
+    write_cube(str(tmp_path / "late.cub"), [np.arange(64.0).reshape(8, 8)])
+    planned = plans.plan_conversion
+
+    def vanishing(path, *more):  # a file that goes between planning and reading: the error is a task's
+        plan = planned(path, *more)
+        if path.endswith("late.cub"):
+            os.remove(path)
+        return plan
+
+    monkeypatch.setattr(plans, "plan_conversion", vanishing)
+    told = []
+    written, failed = plans.convert(spark, [str(tmp_path)], Options(output=f"{tmp_path}/out/", tile=16), told.append)
+    assert sorted(map(os.path.basename, written)) == ["good.tif", "other.tif"] and list(map(os.path.basename, failed)) == ["late.cub"]
+    assert "late.cub" in failed[str(tmp_path / "late.cub")] and sum("MB/s" in t for t in told) == 2
+    assert sorted(os.listdir(tmp_path / "out")) == ["good.tif", "other.tif"]
+
+
+def test_files_come_back_through_the_source(spark, demo, tmp_path):
+    from cartolith.sources.geotiff import TiffError, directories, register
+
+    register(spark)
+    _, v = whole(demo)
+    for more in ({}, {"interleave": True, "type": "int16", "compress": "zstd"}, {"overviews": True, "bigtiff": "yes", "compress": "none"}):
+        levels = run(spark, demo, tmp_path, nodata="-7", **more)
+        path = str(tmp_path / "demo.tif")
+        got = {(r["level"], r["band"], r["line"], r["sample"]): r["value"] for r in spark.read.format("geotiff").load(path).collect()}
+        want = {(k, b + 1, y, x): float(a[y, x, b]) for k, (_, a) in enumerate(levels) for y, x, b in np.ndindex(a.shape)}
+        assert got == want
+    assert spark.read.format("geotiff").option("level", 9).load(path).count() == 0
+    data = (tmp_path / "demo.tif").read_bytes()
+    (tmp_path / "cut.tif").write_bytes(data[:-40])
+    with pytest.raises(TiffError):
+        directories(str(tmp_path / "cut.tif"))
+
+
+def test_tasks_and_driver_write_the_same_file(spark, demo, tmp_path, monkeypatch):
+    from cartolith.plans import convert as plans
+
+    files = []
+    for most in (plans.PLACED, 0):
+        monkeypatch.setattr(plans, "PLACED", most)
+        run(spark, demo, tmp_path, overviews=True)
+        files.append((tmp_path / "demo.tif").read_bytes())
+    assert files[0] == files[1]
+
+
+def test_command_line_options(capsys):
+    from cartolith import __version__
+    from cartolith.cli import Progress, options_of, parser
+
+    def options(*args):
+        got = vars(parser().parse_intermixed_args(["a.cub", *args]))
+        return options_of({k: v for k, v in got.items() if k not in ("inputs", "info", "quiet")})
+
+    assert options("--normalize", "--type", "uint16").normalize == "uint16" and options("--normalize").normalize == "float32"
+    assert options("--out", "x", "-r", "cubic", "--t_srs", "sinu", "--ov-resample", "nearest") == Options(output="x", resample="cubic", proj="sinu", overview_method="nearest")
+    assert options("--predictor", "none").predictor == 1 and options("--approximate", "--exact").approximate is False
+    assert (options("--threads", "3", "--cache", "10").threads, options("--cache", "10").cache) == (3, 10)
+    with pytest.raises(OptionError):
+        options("--predictor", "lzw")
+    assert main(["--version"]) == 0 and __version__ in capsys.readouterr().out
+    assert Progress.bar(1, 4, 8) == "[##......] 1 of 4" and Progress.bar(0, 0, 2) == "[..] 0 of 0"
+
+
+def test_input_is_not_overwritten_in_other_letters(demo):
+    with pytest.raises(OptionError):
+        plan_conversion(demo, Options(output=demo.upper()))
