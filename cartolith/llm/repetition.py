@@ -15,9 +15,10 @@ results; nothing depends on doc_id, which may be null. Other columns of the inpu
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD, WORD_SPACE, WordIds, map_texts
+from .common import WORD_SPACE, col, map_blocks, split_words
 
 #: Fixed values of the base rules: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -108,26 +109,23 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def text_statistics(texts: list[str | None], min_repeat: int) -> list[np.ndarray]:
+def text_statistics(texts: pa.Array, min_repeat: int) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, longest_repeat of each text."""
-    known, ids, sizes, chars = WordIds(), [], [], []
+    ids, begin, words = split_words(texts)
+    sizes = np.diff(begin)
+    chars = np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))[ids]))
+    chars = chars[begin[1:]] - chars[begin[:-1]]
     symbols, lines = [], []
-    for text in texts:
-        text = text or ""
-        words = WORD.findall(text)
-        sizes.append(len(words))
-        chars.append(sum(map(len, words)))
-        ids.extend(map(known.__getitem__, words))
-        symbols.append(sum(map(text.count, SYMBOLS)))
-        lines.append(duplicate_lines(text))
-    sizes = np.array(sizes, np.int64)
-    stop = np.cumsum(sizes)
+    for text in texts.to_pylist():
+        symbols.append(sum(map(text.count, SYMBOLS)) if text else 0)
+        lines.append(duplicate_lines(text) if text else 0)
+    stop = begin[1:]
     text = np.repeat(np.arange(len(sizes)), sizes)
-    deep = deepest(*suffix_array(np.array(ids, np.int64), text, stop[text] if len(text) else text))
+    deep = deepest(*suffix_array(ids.astype(np.int64), text, stop[text] if len(text) else text))
     per = lambda mask: np.bincount(text[mask], minlength=len(sizes)).astype(np.int64)
     longest = np.zeros(len(sizes), np.int64)
     np.maximum.at(longest, text, deep)
-    return [sizes, np.array(chars, np.int64), np.array(symbols, np.int64), np.array(lines, np.int64), per(covered(deep, 3)), per(covered(deep, min_repeat)), longest]
+    return [sizes, chars, np.array(symbols, np.int64), np.array(lines, np.int64), per(covered(deep, 3)), per(covered(deep, min_repeat)), longest]
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, min_repeat: int = 10, max_covered_percent: int = 20, longest: int = 100) -> DataFrame:
@@ -138,10 +136,11 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     and no repeat longer than ``longest`` words.
     """
 
-    def fn(texts: list[str | None]) -> list:
+    def fn(texts: pa.Array) -> list:
         n, chars, symbols, lines, windows, cover, most = text_statistics(texts, min_repeat)
         failed = (n < min_words) | (100 * windows > max_repeat_percent * n)
         kept = ~failed & (100 * cover <= max_covered_percent * n) & (most <= longest)
         return [n, chars, symbols, lines, windows, failed, kept, cover, most]
 
-    return map_texts(docs, [doc_id], text, SCHEMA, fn)
+    own = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
+    return map_blocks(own, ["doc_id"], "text", SCHEMA, lambda: fn).withColumnRenamed("doc_id", doc_id)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -27,7 +28,7 @@ except ImportError:  # pragma: no cover
     import sre_constants as sre
     import sre_parse as parser
 
-from .common import map_texts
+from .common import col, map_texts, quoted
 
 
 @dataclass(frozen=True)
@@ -146,22 +147,28 @@ def _trigrams(query) -> set[bytes]:
     return set() if query is True else {query} if isinstance(query, bytes) else set().union(*map(_trigrams, query[1]))
 
 
+#: For each byte a number of 7 bits; trigrams of queries are of ASCII characters, and other bytes are in none of them.
+SEVEN_BITS = np.where(np.arange(256) < 128, np.arange(256), 0).astype(np.uint32)
+
+
+@lru_cache(8)
+def _numbers(vocabulary: frozenset[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The trigrams in order, and the number from 1 of each, by its 21 bits."""
+    terms = sorted(vocabulary)
+    table = np.zeros(1 << 21, np.uint16)
+    for k, t in enumerate(terms, 1):
+        table[t[0] << 14 | t[1] << 7 | t[2]] = k
+    return terms, table
+
+
 class TrigramIndex:
     """Postings of a block of texts: for each trigram in use the sorted numbers of the texts that hold it."""
 
-    _table: dict[frozenset, np.ndarray] = {}
-
     def __init__(self, texts: list[bytes], vocabulary: frozenset[bytes]):
-        terms = sorted(vocabulary)
-        table = self._table.get(vocabulary)
-        if table is None:
-            table = np.zeros(1 << 24, np.uint16)
-            for k, t in enumerate(terms, 1):
-                table[t[0] << 16 | t[1] << 8 | t[2]] = k
-            self._table[vocabulary] = table
+        terms, table = _numbers(vocabulary)
         self.n = len(texts)
-        raw = np.frombuffer(b"\0\0\0".join(texts) + b"\0\0\0", np.uint8).astype(np.uint32)
-        found = table[raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]]
+        raw = SEVEN_BITS[np.frombuffer(b"\0\0\0".join(texts) + b"\0\0\0", np.uint8)]
+        found = table[raw[:-2] << 14 | raw[1:-1] << 7 | raw[2:]]
         at = np.flatnonzero(found)
         starts = np.cumsum([0, *(len(t) + 3 for t in texts)])
         pairs = np.unique(found[at].astype(np.int64) * self.n + np.searchsorted(starts, at, "right") - 1) if self.n else np.zeros(0, np.int64)
@@ -184,11 +191,18 @@ class TrigramIndex:
         return found
 
 
+@lru_cache(8)
+def _queries(rules: tuple[Rule, ...]) -> tuple[list, frozenset[bytes]]:
+    """The queries of rules, and all trigrams in them."""
+    queries = [trigram_query(r.pattern, r.flags) for r in rules]
+    return queries, frozenset().union(*map(_trigrams, queries))
+
+
 def find_secrets(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
     """(start, number of the rule, end) of every match in each text, sorted."""
     texts = [t or "" for t in texts]
-    queries = [trigram_query(r.pattern, r.flags) for r in rules]
-    index = TrigramIndex([t.lower().encode("utf-8", "surrogatepass") if t.isascii() else _ascii_lower(t) for t in texts], frozenset().union(*map(_trigrams, queries)))
+    queries, vocabulary = _queries(rules)
+    index = TrigramIndex([t.lower().encode("utf-8", "surrogatepass") if t.isascii() else _ascii_lower(t) for t in texts], vocabulary)
     out: list[list] = [[] for _ in texts]
     for k, (rule, query) in enumerate(zip(rules, queries)):
         for i in index.answer(query):
@@ -237,4 +251,4 @@ def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
     def fn(texts: list[str | None]) -> list:
         return [[t if not s else mask_spans(t, s, mask) for t, s in zip(texts, find_secrets(texts, rules))]]
 
-    return map_texts(docs, others, text, f"`{text}` string", fn).select(*docs.columns)
+    return map_texts(docs, others, text, f"{quoted(text)} string", fn).select(*map(col, docs.columns))
