@@ -6,16 +6,21 @@
    then a ranked window does). Their trees are aligned by simple tree matching (Yang, 1991): the order-preserving
    matching of children with the most nodes. The merged tree is the host's wrapper.
 3. The tree of every page is matched with its host's wrapper, which gives its nodes their places; nodes that match none
-   have their path of labels as place. Texts are counted by place over all different pages of the host. A text is
-   template where most of the pages with that place have it; a node is dropped only if its own text is template.
-4. Nodes whose tag, class, id or role names a page part that is no article (menus, headers, footers, sidebars, notices,
-   adverts, forms, comments) are dropped, and so are scripts and styles. If the page has an article or main element, its
-   text is what lies in them, without the blocks that are template; but an element of which template is over half of the
-   text stays whole, because copies of an article on one host must not erase each other, and so do constant inline nodes.
-   Otherwise it is the slots of the whole body, without template.
+   have their path of labels as place. Texts are counted by place over all different pages of the host. A place is
+   template if most pages show texts there that return on other pages, be it one text or a few by turns; all other
+   places are slots. Such returning texts are dropped from template places; a text of its own there, like a correction,
+   is content.
+4. What is left are the slots, and they are the text. Only among them do names decide: a part whose tag, class, id or
+   role says menu, header, footer, sidebar, notice, advert, form or comments is dropped, unless an article, main element
+   or first heading is in it, or there is next to nothing outside of such parts and it holds most of what is left. In an
+   article's header headings stay. If article or main elements hold most of what is left, the text is theirs.
+
+Copies of one article on a host return as a template does. A node with over half of a page's text, and over
+``ARTICLE_CHARS`` characters of it, is therefore never template, and an article or main element stays whole if template would take over half of it.
 
 Wrappers are fitted on a bounded sample, templates on all pages, and every page is extracted whole. Either is broadcast
-if all hosts' are under ``broadcast_bytes``; else joined by host, which adaptive execution splits for a large host.
+if all hosts' are under ``broadcast_bytes``; else joined by host, which adaptive execution splits for a large host. Hosts
+of under three different pages have no template; for them names and landmarks are all there is.
 
 A null or empty html, or one without text, gives an empty text. A null url, or one without a host, belongs to the
 host "". Repeated rows give repeated results; page_id may be null; other columns are ignored.
@@ -49,10 +54,18 @@ PART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent copyright disqus footer header masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion "
     "related recommended replies reply search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
+#: Words that may stand beside those in a name that still tells a part; and elements that carry text, which no name drops.
+BESIDE_WORDS = frozenset("area bar block bottom box btn button container content feed fixed form group holder home inner item items left link links list main panel post right section site sticky text title top wrap wrapper form".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 td th pre blockquote b i em strong u mark code".split())
+WHOLE = frozenset(("html", "body", "article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Of names that tell comments, which may be longer than what they are about.
+COMMENT_WORDS = frozenset("comment comments disqus replies reply".split())
 LANDMARKS = frozenset(("article", "main"))
+#: Elements that hold no text of a page, whatever else they hold.
+UNSEEN = frozenset("head script style noscript template iframe svg math canvas object embed audio video select textarea title".split())
 #: Class names that tell a state of the page, not a part of it.
 STATES = ("has-", "no-", "with-", "without-", "is-")
-WHOLE = frozenset(("#root", "html", "body", "article", "main"))
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -60,16 +73,22 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "children")
+    __slots__ = ("tag", "names", "part", "children")
 
-    def __init__(self, tag: str, names: tuple[str, ...] = ()):
-        self.tag, self.names, self.children = tag, names, []
+    def __init__(self, tag: str, names: tuple[str, ...] = (), part: str = ""):
+        self.tag, self.names, self.part, self.children = tag, names, part, []
 
     @property
     def label(self) -> str:
         return ".".join((self.tag, *self.names))
 
 
+def part_of(values: list[list[str]]) -> str:
+    """"comments" or "part" if one of the names, each a list of words, tells a page part by all of its words; else ""."""
+    told = [v for v in values if not PART_WORDS.isdisjoint(v) and all(w in PART_WORDS or w in BESIDE_WORDS for w in v)]
+    return "comments" if any(not COMMENT_WORDS.isdisjoint(v) for v in told) else "part" if told else ""
+
+
 def parse(html: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = Node("#root")
@@ -102,11 +121,13 @@ def parse(html: str) -> Node:
                     break
                 if stack[k].tag in stop:
                     break
-        names = ()
+        names, part = (), "part" if tag in PART_TAGS else ""
         if m[3] and not m[3].isspace():
-            values = (v for a in NAMED.finditer(m[3]) for v in (a[2] or a[3] or a[4] or "").lower().split())
-            names = tuple(sorted({w for v in values if not v.startswith(STATES) for w in WORDS.findall(v)}))
-        node = Node(tag, names)
+            values = [WORDS.findall(v) for a in NAMED.finditer(m[3]) for v in (a[2] or a[3] or a[4] or "").lower().split() if not v.startswith(STATES)]
+            names = tuple(sorted({w for v in values for w in v}))
+            if tag not in TEXT_TAGS and tag not in WHOLE:
+                part = part_of(values) or part
+        node = Node(tag, names, part)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
@@ -127,16 +148,21 @@ def _hash(parts: list[str]) -> str:
 
 
 def fold(nodes: list[Node], depth: int = 64) -> list:
-    """The folded tree of siblings with one label; what lies deeper than ``depth`` levels takes no part in alignment."""
+    """The folded tree of siblings with one label; what lies deeper than ``depth`` levels is text of the node there."""
     groups: dict[str, list[Node]] = {}
     texts = []
     for n in nodes:
-        for c in n.children:
-            if isinstance(c, Node):
+        stack = list(reversed(n.children))
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                if not c.isspace():
+                    texts.append(" ".join(c.split()))
+            elif depth:
                 groups.setdefault(c.label, []).append(c)
-            elif not c.isspace():
-                texts.append(" ".join(c.split()))
-    return [nodes[0].label, _hash(texts) if texts else "", [fold(g, depth - 1) for g in groups.values()] if depth else []]
+            else:
+                stack += reversed(c.children)
+    return [nodes[0].label, _hash(texts) if texts else "", [fold(g, depth - 1) for g in groups.values()]]
 
 
 def match(a: list, b: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
@@ -244,72 +270,167 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def is_part(node: Node) -> bool:
-    return node.tag in PART_TAGS or node.tag not in WHOLE and not PART_WORDS.isdisjoint(node.names)
+#: Characters, white space apart, from which on a node may be an article.
+ARTICLE_CHARS = 150
+
+
+class Page:
+    """A parsed page, and of each of its nodes how many characters of text it holds."""
+
+    def __init__(self, root: Node, template: frozenset[str] | set[str] = frozenset()):
+        """``template`` has the paths of labels whose text is template."""
+        self.root, self.template = root, template
+        self.every = self._sizes(frozenset())
+        self.gone = frozenset()
+        if template:
+            groups: dict[str, int] = {}
+            for node, path in self._nodes():
+                groups[path] = groups.get(path, 0) + self.every[id(node)]
+            most = self.every[id(root)]
+            large = {path for path in template if groups.get(path, 0) > max(most / 2, ARTICLE_CHARS)}  # an article, though other pages have it too
+            inside = tuple(f"{path}/" for path in large)
+            self.gone = frozenset(path for path in template if path not in large and not path.startswith(inside))
+        self.rest = self._sizes(self.gone) if self.gone else self.every
+        whole = [(node, path) for node, path in self._nodes() if node.tag in LANDMARKS and 2 * self.rest[id(node)] < self.every[id(node)]]
+        if self.gone and whole:  # template would take most of an article
+            inside = tuple(f"{path}/" for _, path in whole)
+            above = [path for _, path in whole]
+            self.gone = frozenset(path for path in self.gone if not path.startswith(inside) and not any(x == path or x.startswith(f"{path}/") for x in above))
+            self.rest = self._sizes(self.gone)
+
+    def _nodes(self):
+        stack = [(self.root, "#root")]
+        while stack:
+            node, path = stack.pop()
+            yield node, path
+            stack += [(c, f"{path}/{c.label}") for c in node.children if isinstance(c, Node)]
+
+    def _sizes(self, gone: frozenset[str]) -> dict[int, int]:
+        """Characters of text under each node without what is gone, white space apart."""
+        size: dict[int, int] = {}
+        stack: list = [(self.root, "#root", False)]
+        while stack:
+            node, path, done = stack.pop()
+            if done:
+                size[id(node)] = sum(size[id(c)] if isinstance(c, Node) else len(c) - c.count(" ") - c.count("\n") for c in node.children)
+            elif node.tag in UNSEEN or path in gone:
+                inner = [node]
+                while inner:
+                    x = inner.pop()
+                    size[id(x)] = 0
+                    inner += [c for c in x.children if isinstance(c, Node)]
+            else:
+                stack.append((node, path, True))
+                stack += [(c, f"{path}/{c.label}" if gone else "", False) for c in node.children if isinstance(c, Node)]
+        return size
+
+    def holds_core(self, top: Node) -> bool:
+        """Whether an article or main element, or a page's heading, is inside a node."""
+        stack = [c for c in top.children if isinstance(c, Node)]
+        while stack:
+            node = stack.pop()
+            if node.tag in LANDMARKS or node.tag == "h1" and top.tag not in PART_TAGS - {"form"}:
+                return True
+            stack += [c for c in node.children if isinstance(c, Node)]
+        return False
+
+    def drops(self, node: Node, path: str) -> bool:
+        """Whether a node is no content: unseen, template, or by its name a part, unless it holds what the page is about."""
+        if node.tag in UNSEEN or path in self.gone:
+            return True
+        if not node.part:
+            return False
+        key = id(node)
+        if key not in self.parts:
+            most = not self.plain and self.rest[key] > (0.9 if node.part == "comments" else 0.5) * self.rest[id(self.root)]
+            self.parts[key] = not most and not self.holds_core(node)
+        return self.parts[key]
+
+    def text(self) -> str:
+        self.parts: dict[int, bool] = {}
+        self.plain = True  # whether there is text enough outside of all parts
+        marks, shown = self.marks()
+        if not any(self.rest[id(m)] for m, _ in marks) and 10 * shown < self.rest[id(self.root)]:
+            self.plain = False
+            self.parts.clear()
+            marks, shown = self.marks()
+        if not marks or 2 * sum(self.rest[id(m)] for m, _ in marks) <= shown:
+            marks = [(self.root, "#root")]
+        return "\n".join(x for m in marks for x in self.blocks(*m))
+
+    def marks(self) -> tuple[list[tuple[Node, str]], int]:
+        """The outermost landmarks that are not dropped, in order, and the characters of text that are not."""
+        marks, shown, stack = [], 0, [(self.root, "#root", False)]
+        while stack:
+            node, path, inside = stack.pop()
+            if node.tag in LANDMARKS and not inside:
+                marks.append((node, path))
+                inside = True
+            for c in reversed(node.children):
+                if isinstance(c, str):
+                    shown += len(c) - c.count(" ") - c.count("\n")
+                elif not self.drops(c, f"{path}/{c.label}"):
+                    stack.append((c, f"{path}/{c.label}", inside))
+        return marks, shown
+
+    def blocks(self, top: Node, path: str) -> list[str]:
+        """The texts of the blocks under a node without what is dropped."""
+        out: list[str] = []
+        run: list[str] = []
+
+        def flush() -> None:
+            if text := " ".join("".join(run).split()):
+                out.append(text)
+            run.clear()
+
+        article = top.tag in LANDMARKS
+        stack: list = [(top, path)]  # a depth-first walk without recursion; None ends a block
+        while stack:
+            item = stack.pop()
+            if item is None:
+                flush()
+                continue
+            node, path = item
+            if isinstance(node, str):
+                run.append(node)
+                continue
+            if node.tag == "br":
+                run.append(" ")
+                continue
+            headings = False
+            if node is not top and self.drops(node, path) and not (article and path in self.gone and node.tag not in BLOCK):
+                headings = article and node.tag == "header" and path not in self.gone
+                if not headings:
+                    if node.tag in BLOCK:
+                        flush()
+                    continue
+            if node.tag in BLOCK:
+                flush()
+                stack.append(None)
+            inner = self.headings(node, path) if headings else [(c, f"{path}/{c.label}" if isinstance(c, Node) else path) for c in node.children]
+            stack += reversed(inner)
+        flush()
+        return out
+
+    @staticmethod
+    def headings(top: Node, path: str) -> list[tuple[Node, str]]:
+        """The headings under a node, in order."""
+        out, stack = [], [(top, path)]
+        while stack:
+            node, path = stack.pop()
+            if node.tag in HEADINGS:
+                out.append((node, path))
+            else:
+                stack += [(c, f"{path}/{c.label}") for c in reversed(node.children) if isinstance(c, Node)]
+        return out
 
 
-def extract(html: str | None, wrapper: dict[str, bool] | None = None, root: Node | None = None) -> str:
-    """The main text of a page without the template paths of ``wrapper``: blocks in page order, one \\n between them.
+def extract(html: str | None, template: set[str] | frozenset[str] = frozenset(), root: Node | None = None) -> str:
+    """The main text of a page: blocks in page order, one \\n between them.
 
-    ``root`` is the page's tree, if it is parsed already.
+    ``template`` has the paths of labels whose text is template; ``root`` is the page's tree, if it is parsed already.
     """
-    if not html:
-        return ""
-    root = root or parse(html)
-    marks, stack = [], [(root, "#root")]
-    while stack:
-        node, path = stack.pop()
-        for c in reversed(node.children):
-            if isinstance(c, Node) and (c.tag in LANDMARKS or not is_part(c)):
-                stack.append((c, f"{path}/{c.label}"))
-        while stack and stack[-1][0].tag in LANDMARKS:
-            marks.append(stack.pop())
-    wrapper = wrapper or {}
-    if marks:
-        return "\n".join(x for m in marks for x in _article(*m, wrapper))
-    return "\n".join(_blocks(root, wrapper, "#root")) or "\n".join(_blocks(root, {}, ""))
-
-
-def _article(mark: Node, path: str, wrapper: dict[str, bool]) -> list[str]:
-    """The blocks of a landmark without template blocks; all of them where template is over half of the text, as in copies of one article."""
-    every = _blocks(mark, {}, "")
-    own = _blocks(mark, wrapper, path, BLOCK) if wrapper else every
-    return own if 2 * sum(map(len, own)) >= sum(map(len, every)) else every
-
-
-def _blocks(top: Node, wrapper: dict[str, bool], path: str, tags: frozenset[str] | None = None) -> list[str]:
-    """The texts of the blocks under a node that are no page part and no template (of ``tags`` only, if given)."""
-    out: list[str] = []
-    run: list[str] = []
-
-    def flush() -> None:
-        if text := " ".join("".join(run).split()):
-            out.append(text)
-        run.clear()
-
-    stack: list = [(top, path)]  # a depth-first walk without recursion; None ends a block
-    while stack:
-        item = stack.pop()
-        if item is None:
-            flush()
-            continue
-        node, path = item
-        if isinstance(node, str):
-            run.append(node)
-            continue
-        if node.tag == "br":
-            run.append(" ")
-            continue
-        if node is not top and (is_part(node) or wrapper.get(path) and (tags is None or node.tag in tags)):
-            if node.tag in BLOCK:
-                flush()
-            continue
-        if node.tag in BLOCK:
-            flush()
-            stack.append(None)
-        stack += [(c, f"{path}/{c.label}" if wrapper and isinstance(c, Node) else path) for c in reversed(node.children)]
-    flush()
-    return out
+    return Page(root or parse(html), template).text() if html else ""
 
 
 def induce_wrappers(pages: DataFrame, sample: int = 12) -> DataFrame:
@@ -374,11 +495,12 @@ class ByHost:
         return read
 
 
-def find_templates(pages: DataFrame, wrappers: ByHost, share: float = 0.8, least: int = 3) -> DataFrame:
+def find_templates(pages: DataFrame, wrappers: ByHost, share: float = 0.8, least: int = 2, pages_at_least: int = 3, rare: float = 0.01) -> DataFrame:
     """(host, template JSON): a stored table of the pairs of place and hash that are template on a host.
 
-    Counted are all different pages of a host. A pair is template if ``share`` of the pages that have the place, and
-    ``least`` of them, have the hash there; so a rarer layout has its own template.
+    Counted are all different pages of a host. A text returns if ``least`` of the pages with its place, and ``rare`` of
+    them, have it there, so a place has at most 1 / ``rare`` such texts; a place is template if ``share`` of its pages
+    have one, and it has ``pages_at_least``. A rarer layout has places, and so a template, of its own.
     """
     load = wrappers.reader(json.loads, None)
 
@@ -396,9 +518,10 @@ def find_templates(pages: DataFrame, wrappers: ByHost, share: float = 0.8, least
     each = rows.mapInArrow(nodes, "host string, rank long, places array<long>, hashes array<long>")
     each = each.groupBy("host", "rank").agg(F.first(F.arrays_zip("places", "hashes")).alias("nodes"))
     counts = each.select("host", F.explode("nodes").alias("n")).groupBy("host", F.col("n.places").alias("place"), F.col("n.hashes").alias("hash")).agg(F.count("*").alias("pages"))
-    top = counts.groupBy("host", "place").agg(F.sum("pages").alias("all"), F.max(F.struct("pages", "hash")).alias("most"))
-    top = top.where((F.col("most.pages") >= least) & (F.col("most.pages") >= share * F.col("all")))
-    return stored(top.groupBy("host").agg(F.to_json(F.collect_list(F.array("place", "most.hash"))).alias("template")), "templates")
+    whole = counts.groupBy("host", "place").agg(F.sum("pages").alias("all"))
+    again = counts.join(whole, ["host", "place"]).where((F.col("pages") >= least) & (F.col("pages") >= rare * F.col("all")) & (F.col("all") >= pages_at_least))
+    found = again.groupBy("host", "place").agg(F.sum("pages").alias("n"), F.first("all").alias("all"), F.collect_list("hash").alias("hashes")).where(F.col("n") >= share * F.col("all"))
+    return stored(found.groupBy("host").agg(F.to_json(F.collect_list(F.struct("place", "hashes"))).alias("template")), "templates")
 
 
 def extract_text(pages: DataFrame, sample: int = 12, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -410,14 +533,14 @@ def extract_text(pages: DataFrame, sample: int = 12, broadcast_bytes: int = 32 <
 
     schema = StructType([pages.schema["page_id"], pages.schema["url"], StructField("text", StringType()), StructField("n_chars", LongType())])
     wrapper_of = wrappers.reader(json.loads, None)
-    template_of = templates.reader(lambda x: frozenset(map(tuple, json.loads(x))), frozenset())
+    template_of = templates.reader(lambda x: frozenset((t["place"], h) for t in json.loads(x) for h in t["hashes"]), frozenset())
 
     def run(batches):
         for batch in batches:
             texts = []
             for html, wrapper, template in zip(batch.column("html").to_pylist(), wrapper_of(batch), template_of(batch)):
                 root = parse(html) if html else None
-                drop = {path: True for path, *node in placed(fold([root]), wrapper) if tuple(node) in template} if root and template else {}
+                drop = {path for path, *node in placed(fold([root]), wrapper) if tuple(node) in template} if root and template else frozenset()
                 texts.append(extract(html, drop, root))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
