@@ -3,8 +3,8 @@
 1. A text is described by :data:`STATISTICS`, from the whole text, null as empty. They are computed once and stored.
 2. Statistics are standardised by their mean and deviation over the training rows. ``features`` random cosines
    approximate a Gaussian kernel of width ``width``.
-3. Tasks sum the normal equations of their training rows; the sums are added up in two steps, so that neither a task nor
-   the driver holds more than a bounded number of matrices. Ridge regression solves them on the driver.
+3. Tasks sum the normal equations of their training rows; the sums are added up in rounds, ``FAN`` of them by a task, so
+   that no task holds more, and the driver gets one. Ridge regression solves them there.
 4. A disjoint part of the training rows is scored; its labels are counted in ``bins`` bins of the score, and pooling of
    adjacent violators makes a monotone curve of them.
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_SPACE, is_held_out, map_texts, stored
+from .common import WORD, WORD_SPACE, col, is_held_out, map_texts, scratch, stored
 
 STATISTICS = (
     "log_chars", "log_words", "log_lines", "word_length", "word_length_deviation", "longest_word", "symbols", "digits", "capitals",
@@ -95,11 +95,29 @@ def _matrix_rows(frames, features: Fourier):
         own = z.T @ np.column_stack([z, frame["label"].to_numpy(np.float64)])
         total = own if total is None else total + own
     if total is not None:
-        yield pd.DataFrame({"sums": [total.tobytes()]})
+        from pyspark import TaskContext
+
+        yield pd.DataFrame({"part": np.array([TaskContext.get().partitionId()], np.int32), "sums": [total.tobytes()]})
 
 
 def _add_up(frame: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"sums": [sum(np.frombuffer(x) for x in frame["sums"]).tobytes()]})
+    return pd.DataFrame({"part": frame["part"].iloc[:1] // FAN, "sums": [sum(np.frombuffer(x) for x in frame["sums"]).tobytes()]})
+
+
+#: So many matrices are added up by one task, round by round, until one is left.
+FAN = 32
+
+
+def summed(sums: DataFrame) -> np.ndarray:
+    """The sum of the matrices of ``sums`` (part int, sums binary), whose parts are different from each other."""
+    sums = stored(sums, "sums")
+    while (most := sums.agg(F.max("part")).first()[0]) > 0:
+        grouped = sums.groupBy((F.col("part") / FAN).cast("int").alias("g"))
+        sums = grouped.applyInPandas(lambda f: _add_up(f), "part int, sums binary")
+        sums = stored(sums, "sums") if most >= FAN else sums
+        if most < FAN:
+            break
+    return np.frombuffer(sums.first()["sums"])
 
 
 def fit(rows: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1e-2, bins: int = 512):
@@ -110,9 +128,9 @@ def fit(rows: DataFrame, features: int = 256, width: float = 4.0, ridge: float =
     if not moments[0]:
         return None
     fourier = Fourier(np.array(moments[1::2], float), np.array(moments[2::2], float), features, width)
-    sums = own.select("stats", "label").mapInPandas(lambda frames: _matrix_rows(frames, fourier), "sums binary")
-    sums = sums.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("g").applyInPandas(lambda f: _add_up(f[["sums"]]), "sums binary")
-    total = sum(np.frombuffer(r["sums"]) for r in sums.collect()).reshape(features + 1, features + 2)  # 32 rows at most
+    sums = own.select("stats", "label").mapInPandas(lambda frames: _matrix_rows(frames, fourier), "part int, sums binary")
+    with scratch(rows.sparkSession):
+        total = summed(sums).reshape(features + 1, features + 2)
     weights = np.linalg.solve(total[:, :-1] + ridge * moments[0] / features * np.eye(features + 1), total[:, -1])
 
     def in_bins(frames):
@@ -140,9 +158,10 @@ def calibrated(z: np.ndarray, curve: np.ndarray) -> np.ndarray:
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; ``labels`` holds doc_id and a 0/1 ``label``."""
-    stats = stored(map_texts(docs, [doc_id], text, "stats array<float>", lambda texts: [[statistics(t) for t in texts]]), "statistics")
-    told = labels.groupBy(F.col(doc_id).alias("_id")).agg(F.avg(F.col(label).cast("double")).alias("label")).where("label is not null")
-    rows = stats.join(told, stats[doc_id] == told["_id"]).select((F.crc32(F.col(doc_id).cast("string")) % 3).alias("part"), "stats", "label").where("part <> 1")
+    own = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
+    stats = stored(map_texts(own, ["doc_id"], "text", "stats array<float>", lambda texts: [[statistics(t) for t in texts]]), "statistics")
+    told = labels.groupBy(col(doc_id).alias("_id")).agg(F.avg(col(label).cast("double")).alias("label")).where("label is not null")
+    rows = stats.join(told, stats["doc_id"] == told["_id"]).select((F.crc32(F.col("doc_id").cast("string")) % 3).alias("part"), "stats", "label").where("part <> 1")
     model = fit(rows, **options)
 
     def judge(frames):
@@ -152,10 +171,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             else:
                 fourier, weights, curve = model
                 value = calibrated(fourier(np.stack(frame["stats"].to_numpy()).astype(np.float64)) @ weights, curve)
-            yield pd.DataFrame({doc_id: frame[doc_id], "score": value, "predicted": (value >= 0.5).astype(np.int32)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": value, "predicted": (value >= 0.5).astype(np.int32)})
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    schema = StructType([stats.schema[doc_id], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    schema = StructType([stats.schema["doc_id"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     out = stats.mapInPandas(judge, schema)
-    return out.select(doc_id, is_held_out(doc_id).alias("held_out"), "score", "predicted")
+    return out.select(F.col("doc_id").alias(doc_id), is_held_out("doc_id").alias("held_out"), "score", "predicted")
