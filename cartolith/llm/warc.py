@@ -7,7 +7,10 @@ the attempts that counted are listed in a stored table, so a task that runs agai
 Reading: a file is read in blocks of bounded size. Each member (or plain record) is checked: gzip's own CRC, the version
 line, the headers, Content-Length, the record's end, block and payload digests. After a failed check the reader looks for
 the next gzip member that begins with a version line (or, in plain files, the next version line), goes on there, and
-reports the bytes between as a quarantined gap. Memory is bounded by the largest record.
+reports the bytes between as a quarantined gap. A member may hold several records. Memory is bounded by the largest
+member, or plain record.
+
+A round trip stores what it read, gaps included, and fails if that is not a record for each one written.
 
 Of rows with equal payloads of ``least`` bytes or more, the one with the largest page_id is the response and the others
 revisit it; repeated rows with that page_id are all responses, and so are rows with a null page_id unless a row with the
@@ -34,7 +37,7 @@ from .common import new_folder, stored
 
 #: Fixed values of the format (ISO 28500).
 VERSION = b"WARC/1.1"
-VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
+VERSION_LINE = re.compile(rb"WARC/[0-9]\.[0-9]{1,2}\r\n")
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
@@ -91,6 +94,7 @@ class Salvager:
     read_at: Callable[[int, int], bytes]
     size: int
     step: int = 1 << 20
+    plain: bool = False
     _at: int = field(default=-1, init=False)
     _block: bytes = field(default=b"", init=False)
 
@@ -104,7 +108,7 @@ class Salvager:
         at, bad, why = 0, None, ""
         while at < self.size:
             try:
-                record = self._member(at) if self._bytes(at, 3) == MAGIC else self._plain(at)
+                found = self._member(at) if not self.plain and self._bytes(at, 3) == MAGIC else [self._plain(at)]
             except Damaged as e:
                 if bad is None:
                     bad, why = at, str(e)
@@ -113,12 +117,13 @@ class Salvager:
             if bad is not None:
                 yield Gap(bad, at - bad, why)
                 bad = None
-            yield record
-            at += record.length
+            yield from found
+            at += sum(x.length for x in found)
         if bad is not None:
             yield Gap(bad, self.size - bad, why)
 
-    def _member(self, at: int) -> Record:
+    def _member(self, at: int) -> list[Record | Gap]:
+        """The record of a gzip member; of several all that are whole, of which the first has the member's length."""
         inflate, out, pos = zlib.decompressobj(31), [], at
         try:
             while not inflate.eof:
@@ -129,16 +134,29 @@ class Salvager:
                 pos += len(piece)
         except zlib.error:
             raise Damaged("member check") from None
-        data = b"".join(out)
-        head, at_block, length = parse_head(data)
-        if len(data) != at_block + length + len(END):
-            raise Damaged("content length")
-        return check(Record(at, pos - len(inflate.unused_data) - at, head, data[at_block : at_block + length]), data[-4:])
+        data, length = b"".join(out), pos - len(inflate.unused_data) - at
+        head, at_block, n = parse_head(data)
+        if len(data) <= at_block + n + len(END):
+            if len(data) < at_block + n + len(END):
+                raise Damaged("content length")
+            return [check(Record(at, length, head, data[at_block : at_block + n]), data[-4:])]
+        found = list(Salvager(lambda k, m: data[k : k + m], len(data), self.step, True))
+        if not any(isinstance(x, Record) for x in found):
+            raise Damaged(found[0].reason)
+        for k, x in enumerate(found):
+            x.offset, x.length = at, 0 if k else length
+            if isinstance(x, Gap):
+                x.reason += " inside a member"
+        return found
 
     def _plain(self, at: int) -> Record:
         n = 1 << 14
-        while END not in (start := self._bytes(at, n)) and len(start) == n and n < 1 << 20:
+        start = self._bytes(at, n)
+        if not VERSION_LINE.match(start):
+            raise Damaged("version line")
+        while END not in start and len(start) == n:
             n *= 4
+            start = self._bytes(at, n)
         head, at_block, length = parse_head(start)
         if at + at_block + length + len(END) > self.size:
             raise Damaged("content length")
@@ -149,24 +167,29 @@ class Salvager:
         """Where the next member that begins with a version line, or the next version line itself, is."""
         while at < self.size:
             piece = self.read_at(at, self.step + 16)
-            for m in re.finditer(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n", piece):
+            for m in re.finditer(rb"\x1f\x8b\x08|WARC/[0-9]\.[0-9]{1,2}\r\n", piece):
                 if m.start() >= self.step:
                     break
-                if m[0] != MAGIC or self._opens(at + m.start()):
+                if m[0] != MAGIC or not self.plain and self._opens(at + m.start()):
                     return at + m.start()
             at += self.step
         return self.size
 
     def _opens(self, at: int) -> bool:
+        """Whether a gzip member that begins with a version line is here, however long its own header is."""
+        inflate, out = zlib.decompressobj(31), b""
         try:
-            return zlib.decompressobj(31).decompress(self.read_at(at, 4096), 10) in VERSIONS
+            while len(out) < 11 and not inflate.eof and (piece := self._bytes(at, 4096)):
+                out += inflate.decompress(piece, 11 - len(out))
+                at += len(piece)
         except zlib.error:
             return False
+        return VERSION_LINE.match(out) is not None
 
 
 def parse_head(data: bytes) -> tuple[dict[str, str], int, int]:
     """(headers by lower-case name, where the block begins, its length) of bytes that begin with a record."""
-    if not data.startswith(VERSIONS):
+    if not VERSION_LINE.match(data):
         raise Damaged("version line")
     stop = data.find(END)
     if stop < 0:
@@ -206,9 +229,16 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = 32
     """Writes a record per row of ``pages`` (page_id, url, html); returns the stored list of files: path, records, bytes."""
     raw = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     raw = raw.withColumn("key", F.sha1("payload"))
-    last = raw.groupBy("key").agg(F.max("page_id").alias("last"))
+    last = stored(raw.groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")), "payloads")
+    total = last.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # a payload with a thousandth of all rows or more, of which there are a thousand at most, meets its rows by broadcast;
+    # in the join of the others those rows have a key each
+    hot = F.broadcast(last.where(F.col("n") * 1000 >= total).select("key", F.col("last").alias("hot_last"), F.lit(True).alias("hot")))
+    rest = last.where(F.col("n") * 1000 < total).select(F.col("key").alias("own"), "last")
+    raw = raw.join(hot, "key", "left").withColumn("own", F.when(F.col("hot"), F.concat(F.lit("hot"), F.monotonically_increasing_id())).otherwise(F.col("key")))
+    raw = raw.join(rest, "own", "left").withColumn("last", F.coalesce("hot_last", "last"))
     told = F.when((F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    rows = raw.join(last, "key").select("page_id", "url", "payload", told.alias("refers_to"))
+    rows = raw.select("page_id", "url", "payload", told.alias("refers_to"))
     folder = _normal(folder)
 
     def write(batches):
@@ -286,7 +316,14 @@ def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as its record was read back."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as its record was read back.
+
+    Raises an error that names the stored table of gaps unless as many records were read as were written.
+    """
     files = write_archives(pages, new_folder(pages.sparkSession, "warc"), least)
-    found = read_archives(files, payload=False).where("reason is null")
+    found = stored(read_archives(files, payload=False), "records")
+    written = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    read, gaps, quarantined = found.agg(F.count_if(F.col("reason").isNull()), F.count("reason"), F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("length"))), F.lit(0))).first()
+    if read != written or gaps:
+        raise OSError(f"{written} records written, {read} read; {gaps} gaps of {quarantined} bytes, listed in {found.inputFiles()[:1]}")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
