@@ -14,28 +14,48 @@ from cartolith.llm.common import read_table, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told."""
+    """Drops documents whose language can't be told: null texts, texts without a letter, and uncertain ones.
+
+    Each row is judged by its own text; repeated rows and null or repeated doc_ids stay as they are. An empty table gives
+    no rows; columns besides those of documents stay, whatever their names.
+    """
     return language.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: shingles of five words, Jaccard 0.8 or more."""
+    """Keeps one document of each group of near copies: shingles of five words, Jaccard 0.8 or more.
+
+    Of a group the row with the least doc_id stays (a null one last; of several, the one whose text has the least hash),
+    and of repeated rows one. Texts without words, null and empty ones, are one group. An empty table gives no rows;
+    columns besides those of documents stay, whatever their names.
+    """
     return simhash.keep_dissimilar(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item, each row judged by its own text.
+
+    Null and empty texts hold none and stay, and so does everything if the benchmark is empty. Null and repeated doc_ids
+    and repeated rows need no care. An empty table gives no rows; other columns stay, whatever their names.
+    """
     return decontaminate.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts; n_chars follows the text."""
+    """Replaces secrets in texts; n_chars follows the text (null for a null text).
+
+    All rows stay, repeated ones too. An empty table gives no rows; other columns stay, whatever their names.
+    """
     masked = secrets.mask_secrets(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into token windows."""
+    """Packs what is left into token windows.
+
+    A null or empty text is its closing token alone; repeated rows are packed each; null doc_ids are carried. An empty
+    table gives no rows; columns but doc_id and text are ignored.
+    """
     return packing.pack(docs)
 
 
