@@ -288,7 +288,7 @@ class Page:
                 groups[path] = groups.get(path, 0) + self.every[id(node)]
             most = self.every[id(root)]
             large = {path for path in template if groups.get(path, 0) > max(most / 2, ARTICLE_CHARS)}  # an article, though other pages have it too
-            inside = tuple(f"{path}/" for path in large)
+            inside = tuple(f"{path}/" for path in large if not any(x.startswith(f"{path}/") for x in large))  # the inmost ones
             self.gone = frozenset(path for path in template if path not in large and not path.startswith(inside))
         self.rest = self._sizes(self.gone) if self.gone else self.every
         whole = [(node, path) for node, path in self._nodes() if node.tag in LANDMARKS and 2 * self.rest[id(node)] < self.every[id(node)]]

@@ -141,6 +141,34 @@ def test_vantage_point_trees_lose_no_link():
             assert forest.root(i) == forest.root(int(j))
 
 
+def test_over_full_leaves_are_split(spark):
+    rng = np.random.default_rng(6)
+    points = rng.integers(0, 1 << 62, 1500).astype(np.uint64)
+    points = np.unique(np.concatenate([points, points[:600] ^ (np.uint64(1) << rng.integers(0, 62, 600).astype(np.uint64)), np.uint64(5) ^ np.array([1 << b for b in range(60)], np.uint64)]))
+    rows = [(int(k), int(f)) for k, f in enumerate(points.tolist())]
+    every = spark.createDataFrame(rows + [(9999, rows[0][1])] * 3, "doc_id long, fp long")
+    got = {r["fp"]: (r["component_id"], r["n"]) for r in simhash.link(every, leaf=40, sample=200).collect()}
+    want = {int(f, 16): c for _, f, c in plain_components([(k, f) for k, f in rows])}
+    assert got == {f: (c, 4 if f == rows[0][1] else 1) for f, c in want.items()}
+
+
+def test_a_dense_leaf_is_searched_by_name():
+    rng = np.random.default_rng(2)
+    bits = np.array([rng.choice(64, 3, replace=False) for _ in range(9500)])
+    points = np.unique(np.uint64(0x0F0F33335555AAAA) ^ (np.uint64(1) << bits.astype(np.uint64)).sum(axis=1).astype(np.uint64))
+    own = np.zeros(len(points), bool)
+    own[:300] = True
+    edges = simhash.leaf_forest(points, own, 2)
+    forest, plain = simhash.Forest(len(points)), simhash.Forest(len(points))
+    for a, b in edges:
+        assert (int(points[a]) ^ int(points[b])).bit_count() <= 2
+        forest.link(a, b)
+    for a in range(300):
+        for b in np.flatnonzero(np.bitwise_count(points ^ points[a]) <= 2):
+            plain.link(a, int(b))
+    assert [forest.root(k) for k in range(len(points))] == [plain.root(k) for k in range(len(points))]
+
+
 def test_keep_first_keeps_one_row_of_each_component(docs):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
@@ -240,6 +268,41 @@ def test_salvage_finds_every_undamaged_record(packed):
     assert sum(x.length for x in found) == len(data)
 
 
+def test_salvage_of_odd_archives():
+    records = [warc.build_record(i, "http://h/", b"x" * i, None) for i in range(5)]
+    old = [r.replace(b"WARC/1.1", b"WARC/0.18") for r in records]
+    wide = records[0].replace(b"WARC-Date", b"X-Long: " + b"y" * 3_000_000 + b"\r\nWARC-Date")
+    named = bytearray(gzip.compress(records[1], mtime=0))
+    named[3] |= 8  # a file name of 10,000 letters in the member's header
+    named[10:10] = b"n" * 10_000 + b"\0"
+    read = lambda data, **k: list(warc.Salvager(lambda at, n: data[at : at + n], len(data), **k))
+    ids = lambda found: [x.headers["warc-record-id"][12:-1] for x in found if isinstance(x, warc.Record)]
+    whole = gzip.compress(b"".join(records), mtime=0)
+    found = read(whole + gzip.compress(records[2], mtime=0))
+    assert ids(found) == ["0", "1", "2", "3", "4", "2"] and sum(x.length for x in found) == len(whole) + len(gzip.compress(records[2], mtime=0))
+    inner = bytearray(b"".join(records))
+    inner[len(records[0]) + 20] ^= 1
+    found = read(gzip.compress(bytes(inner), mtime=0))
+    assert ids(found)[0] == "0" and set(ids(found)) >= {"0", "2", "3", "4"}
+    assert ids(read(b"".join(old))) == ["0", "1", "2", "3", "4"]
+    assert ids(read(wide + records[3])) == ["0", "3"] and ids(read(b"junk" + bytes(named) + b"more" + bytes(named), step=500)) == ["1", "1"]
+    assert ids(read(b"")) == [] and [x.reason for x in read(b"\x1f\x8b\x08 not gzip")] == ["member check"]
+
+
+def test_a_damaged_archive_is_told(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, "u", "text " * k) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archives(pages, f"file://{tmp_path}/w")
+    path = files.first()["path"].removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2] ^= 0x55
+    open(path, "wb").write(data)
+    rows = warc.read_archives(files).collect()
+    assert len([r for r in rows if r["reason"] is None]) == 39 and [r["length"] > 0 for r in rows if r["reason"]] == [True]
+    monkeypatch.setattr(warc, "write_archives", lambda *_: files)
+    with pytest.raises(OSError, match="40 records written, 39 read; 1 gaps"):
+        warc.round_trip(pages)
+
+
 def test_packing_is_a_partition_of_the_ids(docs, none, spark):
     from tokenizers import Tokenizer
 
@@ -278,6 +341,36 @@ def test_encoder_equals_tokenizer():
         assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_bm25_against_the_formula():
+    rng = np.random.default_rng(8)
+    docs = [rng.zipf(1.4, rng.integers(1, 80)) % 300 for _ in range(60)]
+    begin, ids = np.cumsum([0, *map(len, docs)]), np.concatenate(docs)
+    df = np.array([sum((d == t).any() for d in docs) for t in range(300)])
+    idf, mean = np.log1p((60 - df + 0.5) / (df + 0.5)), len(ids) / 60
+    index = packing.Bm25(ids, begin, idf, mean)
+    assert len(index.rows) and len(index.doc)  # terms of both sorts
+    for seed in range(60):
+        got = index.scores(seed)
+        for d in range(60):
+            tf = Counter(docs[d].tolist())
+            want = sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for t in set(docs[seed].tolist()) if tf[t])
+            if d != seed:
+                assert got[d] == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
+def test_a_window_holds_the_nearest_unused_documents():
+    rng = np.random.default_rng(9)
+    docs = [rng.choice(40, 30) + 40 * (k % 3) for k in range(30)]  # three vocabularies
+    begin, ids = np.cumsum([0, *map(len, docs)]), np.concatenate(docs)
+    df = np.array([sum((d == t).any() for d in docs) for t in range(120)])
+    idf = np.log1p((30 - df + 0.5) / (df + 0.5))
+    pieces = packing.pack_shard(ids, begin, idf, 30.0, 300)
+    first = [d for d, _, _, s, _ in pieces if s == 0]
+    plain = packing.Bm25(ids, begin, idf, 30.0).scores(0)
+    plain[0] = -1
+    assert first == [0, *sorted(range(30), key=lambda d: (-plain[d], d))[:9]] and {d % 3 for d in first} == {0}
+
+
 def test_packing_ranks_neighbours_by_bm25():
     docs = [np.array([5, 6, 7] * 3), np.array([50, 60, 70] * 3), np.array([5, 6, 9] * 3)]
     idf = np.ones(100)
@@ -297,6 +390,93 @@ def test_language_on_held_out_rows(spark, sf_dir, docs, none):
     assert language.keep_identified(docs).columns == docs.columns
 
 
+def test_language_scores_against_plain_bayes():
+    rows = [("b", "abc abd"), ("a", "xyz xyy"), ("b", "abba"), ("c", "xy ab"), ("a", "zzz")]
+    found = []
+    for lang in "abc":
+        own = [t for g, t in rows if g == lang]
+        keys, n, _ = language.gram_counts(own)
+        sums = Counter()
+        for k, c in zip((keys % language.BUCKETS).tolist(), n.tolist()):
+            sums[k] += c
+        found += [(lang, k, c) for k, c in sums.items()] + [(lang, -1, len(own))]
+    model = language.Model(pd.DataFrame(found, columns=["lang", "bucket", "n"]), language.BUCKETS, 0.5)
+
+    def grams(t):
+        t = re.sub(r"[^a-z]+", " ", t.lower()) + " "
+        return [t[i : i + k] for k in (1, 2, 3) for i in range(len(t) - k + 1) if (t[i : i + k].strip() if k < 3 else t[i + 1] != " ")]
+
+    def plain(text):
+        logs = []
+        for lang in "abc":
+            have = Counter(g for x, t in rows if x == lang for g in grams(t))
+            total = sum(have.values())
+            log = np.log(sum(x == lang for x, _ in rows) / len(rows)) + sum(np.log((have[g] + 0.5) / (total + 0.5 * language.BUCKETS)) for g in grams(text))
+            logs.append(log)
+        return "abc"[int(np.argmax(logs))], 1 / np.exp(np.array(logs) - max(logs)).sum()
+
+    asked = ["abd", "zzx, yyx", "xy", "AB? xy!", "c", "1 2", None, "a" * 50_000]
+    for at_once in (64, 2, 1):
+        language.AT_ONCE, model._whole = at_once, None
+        names, sure = model.score(asked)
+        assert names[5:7] == ["und", "und"] and sure[5:7] == [0.0, 0.0]
+        for k in (0, 1, 2, 3, 4, 7):
+            name, p = plain(asked[k])
+            assert names[k] == name and sure[k] == pytest.approx(p, rel=1e-4)
+    language.AT_ONCE = 64
+    tie = language.Model(pd.DataFrame([(g, b, 1) for g in "zyx" for b in (-1, 7)], columns=["lang", "bucket", "n"]), language.BUCKETS, 0.5)
+    assert tie.score(["abc"])[0] == ["x"]
+
+
+def test_decontamination_recall_against_full_scans(spark):
+    """All planted items that a scan of every slice finds by the same rule, with a fifth to over a third of their words replaced."""
+    rng = random.Random(21)
+    items = [prose(700 + k, rng.randint(14, 60)) for k in range(100)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    s = decontaminate.Settings()
+
+    def scan(text, item, idf):
+        words, want = decontaminate.word_hashes(text).tolist(), decontaminate.word_hashes(item).tolist()
+        m, known = len(want), set(want)
+        rare = set(sorted(known, key=lambda w: (-idf[w % s.terms], w))[: s.answer_words])
+        for a in range(max(1, len(words) - (m + m // 4 + -(-m // 4)) + 1)):
+            part = words[a : a + m + m // 4 + -(-m // 4)]
+            if sum(w in known for w in part) >= s.part * m:
+                share = decontaminate.common_subsequence(want, part) / m
+                if share >= s.whole or share >= s.part and len(rare & set(part)) >= s.answer * len(rare):
+                    return True
+        return False
+
+    for changed in (0.2, 0.3, 0.35):
+        rows = []
+        for k, item in enumerate(items):
+            words = item.split()
+            for j in rng.sample(range(len(words)), round(changed * len(words))):
+                words[j] = prose(rng.randrange(10**6), 1)
+            rows.append((k, f"{prose(3000 + k, rng.randint(0, 90))} {' '.join(words)} {prose(5000 + k, rng.randint(20, 150))}"))
+        rows += [(1000 + k, prose(9000 + k, 150)) for k in range(200)]
+        found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+        df = Counter(t for _, text in rows for t in set((decontaminate.word_hashes(text) % s.terms).tolist()))
+        idf = defaultdict(float, {t: np.float32(np.log1p((len(rows) - n + 0.5) / (n + 0.5))) for t, n in df.items()})
+        idf.default_factory = lambda: np.float32(np.log1p((len(rows) + 0.5) / 0.5))
+        real = [k for k in range(100) if scan(rows[k][1], items[k], idf)]
+        assert len(real) > 20 and sum((k, k) in found for k in real) >= 0.9 * len(real) and not any(d >= 1000 for d, _ in found)
+
+
+def test_decontamination_judges_each_row(spark):
+    item = prose(77, 30)
+    leak, clean = f"{prose(1, 40)} {item} {prose(2, 40)}", prose(3, 100)
+    long = f"{prose(4, 30_000)} {item} {prose(5, 30_000)}"
+    rows = [(None, leak, 1), (None, clean, 2), (7, leak, 3), (7, clean, 4), (8, None, 5), (9, "", 6), (10, long, 7), (10, clean, 8), (10, clean, 9), (11, "日本 " + item.upper() + " ſ", 10)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, words int, `a.b` int")
+    bench = spark.createDataFrame([(0, item), (1, "never seen anywhere at all"), (2, None)], "item_id long, text string")
+    for settings in (decontaminate.Settings(), decontaminate.Settings(block_words=4)):
+        kept = decontaminate.drop_leaks(docs, bench, settings=settings)
+        assert kept.columns == docs.columns and sorted(r["words"] for r in kept.collect()) == [2, 4, 5, 6, 8, 9]
+    assert sorted(r["words"] for r in decontaminate.drop_leaks(docs, bench.where("false")).collect()) == list(range(1, 11))
+    assert decontaminate.drop_leaks(docs.where("false"), bench).count() == 0
+
+
 def test_decontamination_finds_copies_and_paraphrases(spark):
     items = [prose(100 + k, 15 + k) for k in range(30)] + ["short one here", "", None]
     rng = random.Random(9)
@@ -429,6 +609,61 @@ def test_html_main_text(spark):
     assert html.extract_text(pages.where("false")).count() == 0
 
 
+def test_tree_matching_against_all_matchings():
+    rng = random.Random(4)
+
+    def tree(depth):
+        return [rng.choice("ab"), "", [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []]
+
+    def plain(a, b):
+        if a[0] != b[0]:
+            return 0
+
+        def best(x, y):  # order-preserving matchings of two lists of subtrees, by trying all
+            if not x or not y:
+                return 0
+            return max(best(x[1:], y), best(x, y[1:]), plain(x[0], y[0]) + best(x[1:], y[1:]))
+
+        return 1 + best(a[2], b[2])
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        size, pairs = html.match(a, b, {})
+        assert size == plain(a, b) and pairs == sorted(pairs) and (not size or size == 1 + sum(plain(a[2][i], b[2][j]) for i, j in pairs))
+
+
+PROBES = [
+    ('<body><form id="aspnetForm"><h1>T</h1><p>one two</p></form></body>', "T\none two"),
+    ('<body><div class="content sidebar-right"><p>hello world</p></div></body>', "hello world"),
+    ("<body><article><header><h1>Headline</h1><p>By me</p></header><p>body text one two three four</p></article></body>", "Headline\nbody text one two three four"),
+    ('<body><article><h1>X</h1><p id="share-of-market">kept one</p><p class="notice">kept two</p><div class="share-bar">tweet</div></article></body>', "X\nkept one\nkept two"),
+    ("<body><p>long text outside of the short main element</p><main>short</main></body>", "long text outside of the short main element\nshort"),
+    ("<body><div id=comments>long long long long comment text here</div><div>article text is here</div></body>", "article text is here"),
+    ("<body><nav>m m</nav><div class=ad>ad sentence of many words</div><article><h1>W</h1><p>ab</article><footer>&copy; host long sentence</footer></body>", "W\nab"),
+    ("<div>" * 5000 + "deep", "deep"),
+]
+
+
+def test_names_do_not_drop_what_a_page_is_about(spark):
+    rows = [(k, f"http://h{k}.example/", page) for k, (page, _) in enumerate(PROBES)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: text for k, (_, text) in enumerate(PROBES)}
+
+
+def test_the_wrapper_decides_where_names_say_nothing(spark):
+    tops, tails = [f"Section {k} of our site" for k in range(6)], [f"Printed by house {k}" for k in range(4)]
+    page = "<body><div class=aa>%s</div><div class=bb><h2>Story %d</h2><p>%s</p></div><div class=cc><span>%s</span></div></body>"
+    rows = [(k, "http://a.example/", page % (tops[k % 6], k, prose(k, 12), tails[k % 4])) for k in range(60)]
+    rows += [(100, "http://alone.example/", rows[0][2])]
+    mirror = "<body><!-- %d --><div class=aa>%s</div><div class=bb><p>%s</p></div></body>"  # one article on most pages of a host
+    rows += [(200 + k, "http://m.example/", mirror % (k, tops[k % 2] if k < 19 else prose(k, 4), prose(50, 60) if k < 18 else prose(k, 60))) for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(60):
+        assert got[k] == f"Story {k}\n{prose(k, 12)}"
+    assert got[100] == f"{tops[0]}\nStory 0\n{prose(0, 12)}\n{tails[0]}"  # without a wrapper
+    assert all(prose(50, 60) in got[200 + k] for k in range(18)) and got[200] == prose(50, 60)
+
+
 def test_wrapper_drops_constant_nodes():
     page = '<body><div id=top>Our site</div><div class="c"><p>One %d</p><ul><li>a<li>b%d</ul></div><div class="z">All rights</div></body>'
     wrapper = {p: True for p, c in html.induce([html.fold([html.parse(page % (i, i))]) for i in range(5)]).items() if c}
@@ -467,6 +702,30 @@ def test_quality_on_held_out_rows(spark, docs, none):
     assert quality.score_quality(none, odd).count() == 0
 
 
+def test_matrices_are_added_up_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FAN", 3)
+    rows = spark.createDataFrame([(k, (np.arange(4.0) * k).tolist()) for k in range(0, 60, 2)], "part int, x array<double>")
+    sums = rows.mapInPandas(lambda frames: (pd.DataFrame({"part": f["part"], "sums": [np.array(x).tobytes() for x in f["x"]]}) for f in frames), "part int, sums binary")
+    assert quality.summed(sums).tolist() == (np.arange(4.0) * sum(range(0, 60, 2))).tolist()
+
+
+def test_quality_against_a_plain_ridge(spark):
+    docs = [(k, prose(k, 30 + k % 7 * 20) + (" ### $$$ %% !!" * (k % 2 * 9))) for k in range(240)]
+    labels = [(k, k % 2) for k in range(240)]
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, quality int"), features=64, bins=16).collect()}
+    part = {k: crc32(str(k).encode()) % 3 for k in range(240)}
+    x = np.array([quality.statistics(t) for _, t in docs], np.float32).astype(float)
+    fit, tune = ([k for k in range(240) if part[k] == p] for p in (0, 2))
+    f = quality.Fourier(x[fit].mean(axis=0), x[fit].std(axis=0), 64, 4.0)
+    z, y = f(x[fit]), np.array([k % 2 for k in fit], float)
+    w = np.linalg.solve(z.T @ z + 1e-2 * len(fit) / 64 * np.eye(65), z.T @ y)
+    at = quality.bin_of(f(x[tune]) @ w, 16)
+    ones, n = np.bincount(at, [k % 2 for k in tune], 16), np.bincount(at, minlength=16)
+    curve = quality.isotonic(ones, n)
+    want = quality.calibrated(f(x) @ w, curve)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in range(240))
+
+
 def test_isotonic_is_monotone_and_pooled():
     curve = quality.isotonic(np.array([0, 3, 1, 0, 4, 5.0]), np.array([4, 4, 4, 0, 4, 5.0]))
     assert (np.diff(curve) >= 0).all() and curve[1] == curve[2] == 0.5 and curve[0] == 0
