@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +44,20 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-#: Folders of the tables stored inside of each :func:`scratch` that is open.
-_SCRATCH: list[list[str]] = []
+#: Folders of the tables stored inside of the :func:`scratch` that is open in this thread.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def _keep_track(path: str) -> None:
+    if (folders := _SCRATCH.get()) is not None:
+        folders.append(path)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: it is computed once and survives lost executors."""
     path = new_folder(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    _keep_track(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,11 +75,12 @@ def drop_stored(df: DataFrame) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside are deleted at its end; what is to stay must be stored outside, or before it begins."""
-    _SCRATCH.append([])
+    token = _SCRATCH.set(folders := [])
     try:
         yield
     finally:
-        _delete(spark, _SCRATCH.pop())
+        _SCRATCH.reset(token)
+        _delete(spark, folders)
 
 
 def stored_from(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
@@ -83,8 +89,7 @@ def stored_from(spark: SparkSession, make: Callable[[], DataFrame], what: str) -
     with scratch(spark):
         df = make()
         df.write.option("compression", "zstd").parquet(path)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    _keep_track(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -153,7 +158,12 @@ def map_blocks(df: DataFrame, keys: list[str], text: str, schema: str, start: Ca
             n = len(more[0])
             yield pa.RecordBatch.from_arrays([pa.nulls(n, arrow.field(i).type) for i in range(n_keys)] + typed(more), schema=arrow)
 
-    return df.select(*map(col, keys if own < n_keys else [*keys, text])).mapInArrow(run, out)
+    return map_arrow(df.select(*map(col, keys if own < n_keys else [*keys, text])), run, out)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow by the places of columns, which it finds by names that must have no dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, fn: Callable[[list[str | None]], list], budget: int = BLOCK_BYTES) -> DataFrame:
