@@ -23,27 +23,31 @@ HEADLINES = ("normalize_uint16", "stretch_auto", "pyramid_levels", "fwd_polarste
 
 
 def image_jobs(folder: str) -> dict:
-    """Whole conversions of a mapped cube of 67 MB."""
+    """Whole conversions of mapped cubes of 67 and 268 MB."""
     import math
 
     import numpy as np
 
     from cartolith.plans.convert import execute, plan_conversion
     from cartolith.plans.options import Options
-    from cartolith.queries import MOON, write_cube
+    from cartolith.queries import moon_mapping, write_cube
 
-    n = 4096
-    y, x = np.mgrid[0:n, 0:n]
-    res = 2 * math.pi * MOON.a / n
-    mapping = {"ProjectionName": "SimpleCylindrical", "TargetName": "Moon", "EquatorialRadius": MOON.a, "PolarRadius": MOON.b, "PixelResolution": repr(res), "UpperLeftCornerX": repr(-n / 2 * res), "UpperLeftCornerY": repr(n / 2 * res)}
-    path = write_cube(f"{folder}/image.cub", [np.hypot(x - n / 2, y - n / 3)], mapping=mapping)
+    def cube(n: int) -> str:
+        y, x = np.ogrid[0:n, 0:n]
+        res = 2 * math.pi * 1737400.0 / n
+        return write_cube(f"{folder}/image{n}.cub", [np.hypot(x - n / 2, y - n / 3).astype(np.float32)], mapping=moon_mapping(res, -n / 2 * res, n / 2 * res))
+
+    small, large = cube(4096), cube(8192)
     asked = {
-        "convert_67mb": Options(output=f"{folder}/a.tif"),
-        "convert_67mb_overviews": Options(output=f"{folder}/b.tif", overviews=True),
-        "convert_67mb_polar": Options(output=f"{folder}/c.tif", proj="ps:north"),
-        "convert_67mb_ortho_cubic": Options(output=f"{folder}/d.tif", proj="ortho", resample="cubic"),
+        "convert_67mb": (small, Options(output=f"{folder}/a.tif")),
+        "convert_67mb_overviews": (small, Options(output=f"{folder}/b.tif", overviews=True)),
+        "convert_67mb_polar": (small, Options(output=f"{folder}/c.tif", proj="ps:north")),
+        "convert_67mb_ortho_cubic": (small, Options(output=f"{folder}/d.tif", proj="ortho", resample="cubic")),
+        "convert_268mb": (large, Options(output=f"{folder}/e.tif")),
+        "convert_268mb_none": (large, Options(output=f"{folder}/f.tif", compress="none")),
+        "convert_268mb_polar": (large, Options(output=f"{folder}/g.tif", proj="ps:north")),
     }
-    return {name: (lambda spark, o=o: execute(spark, plan_conversion(path, o))) for name, o in asked.items()}
+    return {name: (lambda spark, path=path, o=o: execute(spark, plan_conversion(path, o))) for name, (path, o) in asked.items()}
 
 
 def main() -> None:

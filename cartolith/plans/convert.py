@@ -226,12 +226,13 @@ def tile_table(spark: SparkSession, plan: ConversionPlan, lay: Layout, encoder:
                 ty, tx = divmod(rest, across)
                 yield pd.DataFrame([_row(0, plane, ty, tx, tile_values(plan, reader, ty, tx, groups[plane][1]), encoder, lay.interleaved, more)], columns=names)
 
-    tables = [stored(jobs.mapInPandas(make, BLOCK), "tiles")]
+    plain = {"parquet.enable.dictionary": "false", "compression": "snappy" if more else "uncompressed"}  # tiles are packed already, doubles are not
+    tables = [stored(jobs.mapInPandas(make, BLOCK), "tiles", **plain)]
     t = plan.options.tile
     for level in range(1, len(lay.sizes)):
         keys = ["plane", F.expr("ty div 2"), F.expr("tx div 2")]
         merge = _merger(level, lay, [len(g) for _, g in groups], encoder, plan.options.overview_method, names)
-        tables.append(stored(tables[-1].drop("payload").groupBy(*keys).applyInPandas(merge, BLOCK), "tiles"))
+        tables.append(stored(tables[-1].drop("payload").groupBy(*keys).applyInPandas(merge, BLOCK), "tiles", **plain))
     return tables
 
 

@@ -340,7 +340,8 @@ def _register_projections() -> None:
         def inverse(spark, sf_dir, name=name):
             p = projection(name)
             x, y = p.forward(F.col("lond") * D2R, F.col("latd") * D2R)
-            plane = points(spark, sf_dir).where(invertible(name)).select("k", x.alias("x"), y.alias("y"))
+            pts = points(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # a row takes long, and the table is one file
+            plane = pts.where(invertible(name)).select("k", x.alias("x"), y.alias("y"))
             lon, lat = p.inverse(F.col("x"), F.col("y"))
             east = F.round(F.pmod(F.round(lon / D2R, 5) + 180, F.lit(360.0)) - 180, 5)
             return plane.select("k", (east + 0.0).alias("lon"), (F.round(lat / D2R, 5) + 0.0).alias("lat"))
@@ -717,6 +718,26 @@ def geotiff_tags(spark, sf_dir):
     return rows.select("level", "tag", text.alias("values"))
 
 
+@query("geotiff_georeference", f"WITH {EVT}, r AS (SELECT max(line) + 1 AS h FROM evt), m AS (SELECT h, {RES_SQL} AS res FROM r), t AS (SELECT 33550 AS tag, [res, res, 0.0::DOUBLE] AS v FROM m UNION ALL SELECT 33922, [0.0::DOUBLE, 0.0, 0.0, -50 * res, h * res / 2, 0.0] FROM m) SELECT tag, CAST(i AS INTEGER) AS pos, round(v[i + 1], 6) + 0.0 AS value FROM t, range(6) k(i) WHERE i < len(v)")
+def geotiff_georeference(spark, sf_dir):
+    """Pixel size and tie point of a converted file."""
+    from .sources.geotiff import tag_rows
+
+    rows = tag_rows(spark, converted(spark, sf_dir, tile=64)).where("tag in (33550, 33922)")
+    return rows.select("tag", F.posexplode("values").alias("pos", "value")).select("tag", "pos", (F.round(F.col("value").cast("double"), 6) + 0.0).alias("value"))
+
+
+@query("normalized_label", f"WITH {EV2}, s AS (SELECT min(value) AS lo, max(value) AS hi FROM two) SELECT 'Base' AS keyword, round(lo, 9) AS number FROM s UNION ALL SELECT 'Multiplier', round((hi - lo) / 65535, 9) FROM s")
+def normalized_label(spark, sf_dir):
+    """How the label beside a normalised file tells the way back to values."""
+    from .sources.pvl import label_rows
+
+    path = os.path.splitext(converted(spark, sf_dir, normalize="uint16", tile=64))[0] + ".lbl"
+    told = label_rows(spark.read.text(path, wholetext=True).withColumn("k", F.lit(1)), "k", "value")
+    pixels = told.where((F.element_at("path", -1) == "Pixels") & F.col("keyword").isin("Base", "Multiplier"))
+    return pixels.select("keyword", F.round(F.col("values")[0].cast("double"), 9).alias("number"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decode, exact range and normalisation of an image."""
     return normalize_uint16(spark, sf_dir)

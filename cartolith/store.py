@@ -25,10 +25,10 @@ def plain(address: str) -> str:
     return "/" + address.removeprefix("file:").lstrip("/") if address.startswith("file:") else address
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     """``df`` written in the shared folder and read again: it is computed once and survives lost executors."""
     path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
