@@ -2,9 +2,9 @@
 
 1. Documents are split into words (letters and digits, in lower case) once, and stored as 32-bit word hashes. A word's
    term is its hash modulo ``terms``. Document frequencies are counted over all documents, in the same pass.
-2. A randomised SVD is fitted to the TF-IDF matrix of passages: windows of the benchmark, and passages drawn from all
-   documents, at most about ``sample`` of either. Tasks sum A'(A X) over their passages, and the sums are added up piece
-   by piece; the basis and the small eigenproblem are the driver's, on matrices whose size ``terms`` and ``rank`` fix.
+2. A randomised SVD is fitted to the TF-IDF matrix of passages: all windows of the benchmark, and all documents cut into
+   passages of ``passage`` words. Tasks sum A'(A X) over their passages, and the sums are added up piece by piece; the
+   basis and the small eigenproblem are the driver's, on matrices whose size ``terms`` and ``rank`` fix.
 3. Documents and items are cut into windows of words, see :func:`scales`. A document's window is a candidate for an
    item's window if the cosine of their latent vectors is ``cosine`` or more. All windows of all documents are compared
    with all windows of all items.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import beyond_latin, binary_rows, col, fresh, latin_runs, map_arrow, map_blocks, new_folder, quoted, scratch, stored
+from .common import beyond_latin, binary_rows, col, fresh, latin_runs, map_arrow, map_blocks, new_folder, quoted, scratch, spans, stored
 
 ALNUM = re.compile(r"[^\W_]+")
 #: By code point below U+0100, whether a character is one of words.
@@ -70,7 +70,6 @@ class Settings:
     part: float = 0.6
     answer: float = 0.75
     answer_words: int = 8
-    sample: int = 65_536
     passage: int = 48
     block_words: int = 1_000_000
 
@@ -112,16 +111,16 @@ class _Words:
 
     def __init__(self, terms: int):
         self.df = np.zeros(terms, np.int64)
-        self.seen = np.zeros(terms, bool)
+        self.place = np.zeros(terms, np.int64)
         self.rows = 0
 
     def __call__(self, texts: pa.Array) -> list:
         hashes, begin = all_hashes(texts)
         term = (hashes % len(self.df)).astype(np.int64)
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
-            self.seen[:] = False
-            self.seen[term[a:b]] = True
-            self.df += self.seen
+            own, nth = term[a:b], np.arange(b - a)
+            self.place[own] = nth
+            self.df[own[self.place[own] == nth]] += 1  # each of its terms once
         self.rows += len(texts)
         return [binary_rows(hashes.astype("<u4"), begin), np.diff(begin), pa.nulls(len(texts), pa.binary())]
 
@@ -153,20 +152,56 @@ def split_words(docs: DataFrame, keys: list[str], text: str, terms: int, names:
     return every.where(col(size).isNotNull()).drop(df), idf
 
 
-def _products(term: np.ndarray, begin: np.ndarray, shares: np.ndarray, idf: np.ndarray, x: np.ndarray, out: np.ndarray | None) -> np.ndarray:
-    """A x for passages of terms, of which passage i is term[begin[i] : begin[i + 1]]; ``out`` gets A'(A x) added.
+#: Passages that a task multiplies at once, and in a step; words of a term that are added up together; terms whose part of A' is a dense matrix.
+AT_ONCE, STEP, CHUNK, DENSE = 16_384, 256, 8, 256
 
-    A row of A has the norm of its passage's share.
+
+def _products(row: np.ndarray, sizes: np.ndarray, shares: np.ndarray, idf: np.ndarray, x: np.ndarray, out: np.ndarray | None) -> np.ndarray:
+    """A x for passages of words, given as rows of x: ``sizes`` tells how many of ``row`` each has; ``out`` gets A'(A x) added.
+
+    A row of A has the norm of its passage's share. Words are put into arrays of one width, so that they are multiplied
+    in batches: by passage for A x, and by term for A', of which x's first rows, the frequent terms, are a dense part.
     """
-    sizes = np.diff(begin)
-    square = np.add.reduceat(idf[term].astype(np.float64) ** 2, begin[:-1])
-    weight = (idf[term] * np.repeat(shares / np.sqrt(np.maximum(square, 1e-12)), sizes)).astype(np.float32)[:, None]
-    rows = np.add.reduceat(weight * x[term], begin[:-1], axis=0)
-    if out is not None:
-        order = np.argsort(term, kind="stable")
-        first = np.flatnonzero(np.diff(term[order], prepend=-1))
-        whose = np.repeat(np.arange(len(sizes)), sizes)
-        out[term[order][first]] += np.add.reduceat(weight[order] * rows[whose[order]], first, axis=0)
+    stop = np.append(0, np.cumsum(sizes))
+    whose = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    weight = idf[row]
+    square = np.add.reduceat(weight.astype(np.float64) ** 2, stop[:-1])
+    weight *= (shares / np.sqrt(np.maximum(square, 1e-12))).astype(np.float32)[whose]
+    rows = np.empty((len(sizes), x.shape[1]), np.float32)
+    for k in range(0, len(sizes), STEP):
+        few = sizes[k : k + STEP]
+        here = slice(stop[k], stop[k + len(few)])
+        filled = np.arange(few.max()) < few[:, None]
+        at, part = np.zeros(filled.shape, np.int32), np.zeros(filled.shape, np.float32)
+        at[filled], part[filled] = row[here], weight[here]
+        np.matmul(part[:, None], np.take(x, at, axis=0, mode="clip"), out=rows[k : k + STEP, None])
+    if out is None:
+        return rows
+    often, n = row < DENSE, min(DENSE, len(x))
+    for k in range(0, len(sizes), 8 * STEP):
+        few = rows[k : k + 8 * STEP]
+        at = np.flatnonzero(often[stop[k] : stop[k + len(few)]]) + stop[k]
+        out[:n] += np.bincount((whose[at] - k) * n + row[at], weight[at], len(few) * n).astype(np.float32).reshape(-1, n).T @ few
+    rest = np.flatnonzero(~often)
+    order = rest[np.argsort(row[rest].astype(np.min_scalar_type(len(x) - 1)), kind="stable")]
+    for k in range(0, len(order), 256 * STEP):
+        few = order[k : k + 256 * STEP]
+        term, at, part, source = row[few], whose[few], weight[few], rows
+        while len(term):  # sums of chunks, then of the sums of terms that have several
+            first = np.flatnonzero(np.diff(term, prepend=-1))
+            count = np.diff(np.append(first, len(term)))
+            chunks = -(-count // CHUNK)
+            begin = np.cumsum(chunks) - chunks
+            place = np.arange(len(term)) + np.repeat(begin * CHUNK - first, count)
+            whole, parts = np.zeros((chunks.sum(), CHUNK), np.int32), np.zeros((chunks.sum(), 1, CHUNK), np.float32)
+            whole.reshape(-1)[place], parts.reshape(-1)[place] = at, part
+            sums = np.empty((len(whole), x.shape[1]), np.float32)
+            for j in range(0, len(whole), 2 * STEP):
+                np.matmul(parts[j : j + 2 * STEP], np.take(source, whole[j : j + 2 * STEP], axis=0, mode="clip"), out=sums[j : j + 2 * STEP, None])
+            alone = chunks == 1
+            out[term[first[alone]]] += sums[begin[alone]]
+            at = np.flatnonzero(np.repeat(~alone, chunks))
+            term, part, source = np.repeat(term[first], chunks)[at], np.ones(len(at), np.float32), sums
     return rows
 
 
@@ -184,41 +219,25 @@ def orthonormal(z: np.ndarray, block: int = 4096) -> np.ndarray:
     return z
 
 
-#: So many rows of a matrix are added up, and go to the driver, at once; so many tasks make matrices.
-PIECE, TASKS = 1024, 8
-
-
-def passages_of(words: DataFrame, s: Settings) -> DataFrame:
-    """(words binary): passages of ``s.passage`` words drawn from all documents alike, all of them if they are few."""
-    every = words.agg(F.coalesce(F.sum(F.ceil(F.col("n") / s.passage)), F.lit(0))).first()[0]
-    rate = min(1.0, s.sample / max(1, every))
-
-    def draw(batches):
-        from pyspark import TaskContext
-
-        rng = np.random.default_rng([7, TaskContext.get().partitionId()])
-        for batch in batches:
-            cut = []
-            for raw in batch.column(0).to_pylist():
-                own = range(0, len(raw), 4 * s.passage)
-                cut += [raw[own[k] : own[k] + 4 * s.passage] for k in np.flatnonzero(rng.random(len(own)) < rate).tolist()]
-            yield pa.RecordBatch.from_pydict({"words": pa.array(cut, pa.binary())})
-
-    return words.select("words").mapInArrow(draw, "words binary")
+#: So many rows of a matrix are added up, and go to the driver, at once; so many matrices are added up by one task.
+PIECE, FAN = 1024, 32
+#: The least tasks that make matrices, and the passages that call for one more.
+TASKS, SHARE = 6, 1_000_000
 
 
 def latent_space(words: DataFrame, idf: np.ndarray, windows: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(terms of the passages, a latent vector for each): right singular vectors of their TF-IDF matrix, each divided by its singular value.
 
-    Benchmark ``windows`` (words binary) and document passages have the same mass in it. The strongest ``common``
-    directions, a quarter of them at most, are left out, as all texts of a language share them, and the division makes
-    the others equally strong. Terms of no passage have the vector zero.
+    All passages of all documents (words binary, n long) and all benchmark ``windows`` (words binary) make the matrix,
+    and either have the same mass in it. The strongest ``common`` directions, a quarter of them at most, are left out,
+    as all texts of a language share them, and the division makes the others equally strong. Terms of no passage have
+    the vector zero.
     """
     spark = words.sparkSession
-    rows = passages_of(words, s).withColumn("item", F.lit(False)).unionByName(windows.withColumn("item", F.lit(True)))
-    rows = stored(rows.repartition(TASKS), "passages")
-    mass = {r["item"]: r["count"] for r in rows.groupBy("item").count().collect()}
-    share = float(np.sqrt(mass.get(True, 0) / mass[False])) if mass.get(False) else 1.0
+    count, passages = words.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.col("n") / s.passage)), F.lit(0))).first()
+    share = float(np.sqrt(windows.count() / passages)) if passages else 1.0
+    tasks = max(TASKS, passages // SHARE)
+    rows = words.select("words", F.lit(False).alias("item")).unionByName(windows.select("words", F.lit(True).alias("item"))).coalesce(tasks)
 
     def terms_of(batches):
         seen = np.zeros(s.terms, bool)
@@ -226,40 +245,56 @@ def latent_space(words: DataFrame, idf: np.ndarray, windows: DataFrame, s: Setti
             seen[np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4") % s.terms] = True
         yield pa.RecordBatch.from_pydict({"term": np.flatnonzero(seen)})
 
-    used = np.sort(rows.select("words").mapInArrow(terms_of, "term long").distinct().toPandas()["term"].to_numpy())
+    seen = idf < np.log1p((count + 0.5) / 0.5) - 0.5  # a term of no document has that idf, one of a document ln 3 less
+    seen[windows.mapInArrow(terms_of, "term long").distinct().toPandas()["term"].to_numpy(np.int64)] = True
+    used = np.flatnonzero(seen)
+    used = used[np.argsort(idf[used], kind="stable")]  # frequent ones first
     shared_row = spark.sparkContext.broadcast((used, idf[used]))
 
     def task(shared, last: bool):
         def run(batches):
+            from pyspark import TaskContext
+
             x, (used, weights) = shared.value, shared_row.value
-            row = np.zeros(s.terms, np.int64)
+            row = np.zeros(s.terms, np.int32)
             row[used] = np.arange(len(used))
             total = np.zeros((x.shape[1], x.shape[1]) if last else x.shape, np.float32)
             for batch in batches:
-                raw = batch.column(0).to_pylist()
-                shares = np.where(np.array(batch.column(1).to_pylist()), 1.0, share)
-                for k in range(0, len(raw), 512):
-                    few = raw[k : k + 512]
-                    begin = np.cumsum([0, *(len(r) // 4 for r in few)])
-                    made = _products(row[np.frombuffer(b"".join(few), "<u4") % s.terms], begin, shares[k : k + 512], weights, x, None if last else total)
-                    if last:
-                        total += made.T @ made
+                for a, b in spans(batch.column(0), 4 * AT_ONCE * s.passage):
+                    raw = batch.column(0).slice(a, b - a).to_pylist()
+                    term = row[np.frombuffer(b"".join(raw), "<u4") % s.terms]
+                    n = np.array([len(r) // 4 for r in raw], np.int64)
+                    cut = -(-n // s.passage)
+                    sizes = np.full(cut.sum(), s.passage)
+                    sizes[np.cumsum(cut)[cut > 0] - 1] -= (cut * s.passage - n)[cut > 0]
+                    shares = np.repeat(np.where(np.array(batch.column(1).slice(a, b - a).to_pylist()), 1.0, share), cut)
+                    stop = np.append(0, np.cumsum(sizes))
+                    for k in range(0, len(sizes), AT_ONCE):
+                        few = sizes[k : k + AT_ONCE]
+                        made = _products(term[stop[k] : stop[k + len(few)]], few, shares[k : k + AT_ONCE], weights, x, None if last else total)
+                        if last:
+                            total += made.T @ made
             for k in range(0, len(total), PIECE):
-                yield pa.RecordBatch.from_pydict({"at": [k], "sums": [total[k : k + PIECE].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"at": [k], "part": [TaskContext.get().partitionId()], "sums": [total[k : k + PIECE].tobytes()]})
 
         return run
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("part")
         total = np.zeros(len(frame["sums"].iloc[0]) // 4, np.float32)
         for raw in frame["sums"]:
             total += np.frombuffer(raw, np.float32)
-        return pd.DataFrame({"at": frame["at"].iloc[:1], "sums": [total.tobytes()]})
+        return pd.DataFrame({"at": frame["at"].iloc[:1], "part": frame["part"].iloc[:1], "sums": [total.tobytes()]})
 
     def summed(x: np.ndarray, last: bool) -> np.ndarray:
         shared = spark.sparkContext.broadcast(x)
         total = np.zeros((x.shape[1], x.shape[1]) if last else x.shape, np.float32)
-        made = rows.select("words", "item").mapInArrow(task(shared, last), "at long, sums binary")
-        for r in made.groupBy("at").applyInPandas(add, "at long, sums binary").toLocalIterator():
+        schema, parts = "at long, part long, sums binary", tasks
+        made = rows.mapInArrow(task(shared, last), schema)
+        while parts > FAN:
+            parts = -(-parts // FAN)
+            made = made.groupBy("at", F.col("part") % parts).applyInPandas(add, schema)
+        for r in made.groupBy("at").applyInPandas(add, schema).toLocalIterator():
             part = np.frombuffer(r["sums"], np.float32).reshape(-1, x.shape[1])
             total[r["at"] : r["at"] + len(part)] = part
         shared.destroy()
@@ -420,8 +455,8 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, s: Settings) -> I
         yield block
 
 
-def benchmark_windows(benchmark: DataFrame, text: str, s: Settings) -> DataFrame:
-    """(words binary): windows of all items end to end, about ``s.sample`` of them at most."""
+def benchmark_windows(benchmark: DataFrame, text: str) -> DataFrame:
+    """(words binary): windows of all items end to end."""
 
     def cut(batches):
         for batch in batches:
@@ -432,9 +467,7 @@ def benchmark_windows(benchmark: DataFrame, text: str, s: Settings) -> DataFrame
                 out += [words[k : k + size].tobytes() for k in range(0, len(words) - len(words) % max(1, size), max(1, size))]
             yield pa.RecordBatch.from_pydict({"words": pa.array(out, pa.binary())})
 
-    every = stored(benchmark.select(col(text)).mapInArrow(cut, "words binary"), "windows")
-    count = every.count()
-    return every if count <= s.sample else every.sample(s.sample / count, seed=29)
+    return stored(benchmark.select(col(text)).mapInArrow(cut, "words binary"), "windows")
 
 
 def _searchers(words: DataFrame, idf: np.ndarray, benchmark: DataFrame, item_id: str, item_text: str, s: Settings) -> Iterator:
@@ -444,7 +477,7 @@ def _searchers(words: DataFrame, idf: np.ndarray, benchmark: DataFrame, item_id:
     for block in item_blocks(benchmark, item_id, item_text, s):
         if space is None:
             with scratch(spark):
-                space = latent_space(words, idf, benchmark_windows(benchmark, item_text, s), s)
+                space = latent_space(words, idf, benchmark_windows(benchmark, item_text), s)
         shared = spark.sparkContext.broadcast(([i for i, _ in block], [w for _, w in block], idf, space, s))
         yield lambda shared=shared: (shared.value[0], Searcher(*shared.value[1:]))
 

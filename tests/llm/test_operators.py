@@ -463,6 +463,45 @@ def test_decontamination_recall_against_full_scans(spark):
         assert len(real) > 20 and sum((k, k) in found for k in real) >= 0.9 * len(real) and not any(d >= 1000 for d, _ in found)
 
 
+def test_the_latent_space_is_made_of_all_passages(spark, monkeypatch):
+    """More passages than any sample held: every term has its vector, and the vectors are those of a plain SVD of all."""
+    s, n = decontaminate.Settings(terms=1 << 8, rank=8, common=2, extra=60, power=2), 100_000
+    words = np.random.default_rng(3).integers(0, 40, (n, 2)).astype("<u4")
+    words[:, 1] += 40
+    words[::2500] = np.arange(160, 240).reshape(40, 2)  # each a term of one passage alone
+    df = np.bincount(words.reshape(-1), minlength=s.terms)  # a row's words differ
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    windows = [np.array([k, k + 1, 100 + k], "<u4") for k in range(30)]
+    table = spark.createDataFrame(pd.DataFrame({"words": [x.tobytes() for x in words], "n": 2})).repartition(9)
+    monkeypatch.setattr(decontaminate, "SHARE", 15_000, raising=False)
+    monkeypatch.setattr(decontaminate, "FAN", 2, raising=False)
+    used, got = decontaminate.latent_space(table, idf, spark.createDataFrame([(x.tobytes(),) for x in windows], "words binary"), s)
+    assert sorted(used.tolist()) == sorted({*words.reshape(-1).tolist(), *(int(t) for x in windows for t in x)})
+    plain = np.zeros((n + 30, s.terms))
+    for rows, first in ((words, 0), (np.array(windows), n)):
+        for column in rows.T:
+            plain[first + np.arange(len(rows)), column] += idf[column]
+    plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+    plain[:n] *= np.sqrt(30 / n)
+    value, vector = np.linalg.eigh(plain.T @ plain)
+    value, vector = value[::-1][2:10], vector[:, ::-1][used, 2:10]
+    want = vector / np.sqrt(value)
+    assert np.abs(got @ got.T - want @ want.T).max() < 0.02 * np.abs(want @ want.T).max()
+
+
+def test_products_are_those_of_the_matrix():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 49, 600)
+    row = np.where(rng.random(sizes.sum()) < 0.4, 3, rng.integers(0, 500, sizes.sum())).astype(np.int32)
+    idf, shares, x = rng.random(500).astype(np.float32) + 0.5, rng.random(600), rng.standard_normal((500, 7)).astype(np.float32)
+    a, whose = np.zeros((600, 500)), np.repeat(np.arange(600), sizes)
+    np.add.at(a, (whose, row), idf[row])
+    a *= (shares / np.sqrt(np.bincount(whose, idf[row].astype(np.float64) ** 2)))[:, None]
+    out = np.zeros_like(x)
+    rows = decontaminate._products(row, sizes, shares, idf, x, out)
+    assert np.allclose(rows, a @ x, atol=1e-4) and np.allclose(out, a.T @ (a @ x), atol=1e-3)
+
+
 def test_decontamination_judges_each_row(spark):
     item = prose(77, 30)
     leak, clean = f"{prose(1, 40)} {item} {prose(2, 40)}", prose(3, 100)
