@@ -275,8 +275,8 @@ def link(every: DataFrame, distance: int = 2, sample: int = 32_768, leaf: int =
     return stored_from(every.sparkSession, lambda: _linked(every, distance, sample, leaf), "linked")
 
 
-def _linked(every: DataFrame, distance: int, sample: int, leaf: int) -> DataFrame:
-    nodes = stored(every.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
+def tree_links(nodes: DataFrame, distance: int = 2, sample: int = 32_768, leaf: int = 16_384) -> DataFrame:
+    """(a, b): forests, one a leaf of the vantage-point trees, of the links between the different fingerprints of ``nodes`` (fp), a stored table."""
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         points = frame["fp"].to_numpy(np.int64)
@@ -284,7 +284,12 @@ def _linked(every: DataFrame, distance: int, sample: int, leaf: int) -> DataFram
         a, b = (np.array(edges, np.int64).reshape(-1, 2)).T
         return pd.DataFrame({"a": points[a], "b": points[b]})
 
-    edges = sharded(nodes, nodes.count(), distance, sample, leaf).groupBy("leaf").applyInPandas(links, "a long, b long").distinct()
+    return sharded(nodes, nodes.count(), distance, sample, leaf).groupBy("leaf").applyInPandas(links, "a long, b long").distinct()
+
+
+def _linked(every: DataFrame, distance: int, sample: int, leaf: int) -> DataFrame:
+    nodes = stored(every.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
+    edges = tree_links(nodes, distance, sample, leaf)
     joined = stored(connected_components(edges, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"}), "components")
     first = nodes.join(joined, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     linked = joined.join(first, "root").select("fp", "root", "component_id")
@@ -337,10 +342,11 @@ def _first_rows(docs: DataFrame, every: DataFrame, roots: DataFrame, node, doc_i
     return kept.select(*map(col, docs.columns))
 
 
-# Near copies by shingles of five words. SimHash at Jaccard 0.8 differs in about 10 of 64 bits and in up to 18, where no
-# tree prunes, so candidates come from banded minima of the shingles, and each is verified on the shingles themselves.
+# Near copies by shingles of five words: SimHashes of them, vantage-point trees with a radius of ``NEAR`` bits, and each
+# link verified on the shingles themselves. At Jaccard 0.8 SimHashes differ in about 10 of 64 bits and in up to 18, where
+# no tree prunes, so what the trees leave apart is looked for in banded minima of the shingles, and verified as well.
 
-FIVE, BANDS, ROWS = 5, 24, 4
+FIVE, BANDS, ROWS, NEAR = 5, 24, 4, 6
 _FACTORS = np.random.default_rng(17).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX32 = np.uint32(0x85EBCA6B)
@@ -372,6 +378,15 @@ def set_name(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles: a bit is set if it is set in over half of their hashes; zero if it is empty."""
+    x = (own.astype(np.uint64) + np.uint64(1)) * _MIX
+    x = (x ^ x >> np.uint64(32)) * _MIX
+    x ^= x >> np.uint64(29)
+    ones = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big")
+
+
 def band_keys(own: np.ndarray) -> np.ndarray:
     """A key for each band of ``ROWS`` min-hashes; sets of Jaccard 0.8 share none of ``BANDS`` once in 300,000 pairs."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint32).max, np.uint32)
@@ -444,21 +459,40 @@ def bucket_forest(frame: pd.DataFrame, similarity: float) -> list[tuple[int, int
 BUCKET = 2048
 
 
-def similar_roots(nodes: DataFrame, sets_of, similarity: float, bucket: int = BUCKET) -> DataFrame:
-    """(fp, root) for each of ``nodes`` (fp, keys): components of the pairs that share a key and have ``similarity`` or more.
+def near_pairs(nodes: DataFrame, distance: int = NEAR, **options) -> DataFrame:
+    """(a, b): candidates among ``nodes`` (fp, print), fewer than two for each: those of one SimHash with the least of them, and the least ones of SimHashes that the trees link."""
+    prints = stored(nodes.groupBy("print").agg(F.min("fp").alias("r")), "prints")
+    alike = nodes.join(prints, "print").where("fp <> r").select(F.col("r").alias("a"), F.col("fp").alias("b"))
+    edges = tree_links(prints.select(F.col("print").alias("fp")), distance, **options)
+    one, two = (prints.select(F.col("print").alias(x), F.col("r").alias(f"r{x}")) for x in "ab")
+    return alike.unionByName(edges.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
 
-    ``sets_of`` gives the sets (fp, set binary) of a table of fp. First each node is held against the least of its
-    buckets. Then, in buckets that still hold several components, each node outside the largest is held against all
-    others, ``bucket`` by ``bucket`` nodes in a task. So no pair of a bucket that could join two components is left out;
-    but what is shuffled are nodes, once for each such block, and what comes out are the links of a forest.
+def similar_roots(nodes: DataFrame, sets_of, similarity: float, bucket: int = BUCKET, **options) -> DataFrame:
+    """(fp, root) for each of ``nodes`` (fp, print, keys): components of the pairs that have ``similarity`` or more.
+
+    ``sets_of`` gives the sets (fp, set binary) of a table of fp. First come the links of the vantage-point trees over the
+    SimHashes ``print``, see :func:`near_pairs`, verified on the sets. Then the rest, pairs that share a key: each node is
+    held against the least of its buckets, if the trees left the two apart; and, in buckets that still hold several
+    components, each node outside the largest is held against all others, ``bucket`` by ``bucket`` nodes in a task. So no
+    pair of a bucket that could join two components is left out; but what is shuffled are nodes, once for each such
+    block, and what comes out are the links of a forest.
     """
+    near = stored(near_pairs(nodes.select("fp", "print"), **options), "near")
     buckets = nodes.select("fp", F.explode("keys").alias("key"))
     least = buckets.groupBy("key").agg(F.min("fp").alias("r"), F.count("*").alias("n")).where("n > 1")
     shared = stored(buckets.join(least, "key"), "buckets")
-    sets = stored(sets_of(shared.select("fp").distinct()), "sets")
-    pairs = shared.where("fp <> r").select(F.col("r").alias("a"), F.col("fp").alias("b")).distinct()
+    wanted = shared.select("fp").union(near.select("a")).union(near.select("b")).distinct()
+    sets = stored(sets_of(wanted), "sets")
     one, two = sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("set").alias("sb"))
-    first = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(similarity), "a long, b long"), "similar")
+    verified = lambda pairs: pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(similarity), "a long, b long")
+    linked = stored(verified(near), "linked")
+    joined = stored(connected_components(linked, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"}), "components")
+    pairs = shared.where("fp <> r").select(F.col("r").alias("a"), F.col("fp").alias("b")).distinct()
+    for x in "ab":
+        pairs = pairs.join(joined.select(F.col("fp").alias(x), F.col("root").alias(f"r{x}")), x, "left")
+    apart = pairs.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+    first = linked.union(stored(verified(apart), "similar"))
     joined = stored(connected_components(first, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"}), "components")
     parts = shared.join(joined, "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
     sizes = parts.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "root")).alias("most"))
@@ -494,27 +528,27 @@ def keep_dissimilar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     The row that stays is told as in :func:`keep_first`. Texts without words are one component.
     """
-    names = [fresh(docs.columns, x) for x in ("node", "digest", "keys", "place")]
-    node, digest, keys, place = names
+    names = [fresh(docs.columns, x) for x in ("node", "digest", "print", "keys", "place")]
+    node, digest, print_, keys, place = names
 
     def sketch(texts: pa.Array) -> list:
         sets = shingle_sets(texts)
-        hashes = [np.array(x, np.uint64).view(np.int64) for x in ([*map(set_name, sets)], [*map(_text_hash, texts.to_pylist())])]
+        hashes = [np.array(x, np.uint64).view(np.int64) for x in ([*map(set_name, sets)], [*map(_text_hash, texts.to_pylist())], [*map(set_fingerprint, sets)])]
         return [*hashes, [band_keys(x) if len(x) else [] for x in sets]]
 
-    rows = map_blocks(docs, docs.columns, text, f"{node} long, {digest} long, {keys} array<long>", lambda: sketch)
+    rows = map_blocks(docs, docs.columns, text, f"{node} long, {digest} long, {print_} long, {keys} array<long>", lambda: sketch)
     rows = stored(rows.withColumn(place, F.monotonically_increasing_id()), "sketches")
     order = F.struct(col(doc_id).isNull().alias("no_id"), col(doc_id).alias("doc_id"), F.col(digest).alias("digest"), F.col(place).alias("place"))
 
     def representatives() -> DataFrame:
-        nodes = stored(rows.groupBy(F.col(node).alias("fp")).agg(F.min(order).alias("first"), F.first(keys).alias("keys")), "nodes")
+        nodes = stored(rows.groupBy(F.col(node).alias("fp")).agg(F.min(order).alias("first"), F.first(print_).alias("print"), F.first(keys).alias("keys")), "nodes")
 
         def sets_of(wanted: DataFrame) -> DataFrame:
             places = stored(nodes.join(wanted, "fp").select(F.col("first.place").alias(place)), "wanted")
             texts = picked(rows.select(F.col(node).alias("fp"), place, col(text).alias("text")), places, place, "left_semi")
             return map_blocks(texts, ["fp"], "text", "set binary", lambda: lambda texts: [[x.tobytes() for x in shingle_sets(texts)]])
 
-        roots = similar_roots(nodes.select("fp", "keys"), sets_of, similarity, bucket)
+        roots = similar_roots(nodes.select("fp", "print", "keys"), sets_of, similarity, bucket)
         return nodes.select("fp", "first").join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.place").alias(place))
 
     stay = stored_from(docs.sparkSession, representatives, "representatives")

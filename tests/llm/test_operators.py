@@ -210,6 +210,26 @@ def test_near_copies_by_five_word_shingles(spark, docs, none):
     assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
 
 
+def test_near_copies_by_vantage_point_trees(spark):
+    """Without any band, near copies are found by the trees alone."""
+    sets = [simhash.shingle_sets(pa.array([prose(k % 20, 200).replace(" ", f" w{k} ", k // 20 * 2)]))[0] for k in range(120)]
+    sets += [np.zeros(0, np.uint32)]
+    prints = [simhash.set_fingerprint(x) for x in sets]
+    rows = [(k, int(np.uint64(p).astype(np.int64)), []) for k, p in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "fp long, print long, keys array<long>").repartition(3)
+    table = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "fp long, set binary")
+    plain = simhash.Forest(len(sets))
+    for a in range(len(sets)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= simhash.NEAR and simhash.jaccard(sets[a], sets[b]) >= 0.8:
+                plain.link(a, b)
+    want = [plain.root(k) for k in range(len(sets))]
+    assert 21 < len(set(want)) < 100
+    for options in ({}, {"leaf": 8, "sample": 40}):
+        roots = simhash.similar_roots(nodes, lambda wanted: table.join(wanted, "fp"), 0.8, **options)
+        assert sorted(map(tuple, roots.collect())) == list(enumerate(want))
+
+
 def test_bucket_forest_joins_what_is_similar():
     rng = np.random.default_rng(4)
     words = rng.integers(1, 1 << 60, 400).astype(np.uint64)
