@@ -342,9 +342,10 @@ def _first_rows(docs: DataFrame, every: DataFrame, roots: DataFrame, node, doc_i
     return kept.select(*map(col, docs.columns))
 
 
-# Near copies by shingles of five words: SimHashes of them, vantage-point trees with a radius of ``NEAR`` bits, and each
-# link verified on the shingles themselves. At Jaccard 0.8 SimHashes differ in about 10 of 64 bits and in up to 18, where
-# no tree prunes, so what the trees leave apart is looked for in banded minima of the shingles, and verified as well.
+# Near copies by shingles of five words: SimHashes of them, searched within ``NEAR`` bits, and each link verified on the
+# shingles themselves. A ball of six bits reaches most leaves of a tree over all 64, so trees are built over parts of the
+# bits, of which fingerprints so near have one in common. At Jaccard 0.8 SimHashes differ in about 10 of 64 bits and in up
+# to 18, where nothing prunes, so what the trees leave apart is looked for in banded minima of the shingles, and verified as well.
 
 FIVE, BANDS, ROWS, NEAR = 5, 24, 4, 6
 _FACTORS = np.random.default_rng(17).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
@@ -459,24 +460,104 @@ def bucket_forest(frame: pd.DataFrame, similarity: float) -> list[tuple[int, int
 BUCKET = 2048
 
 
+def bit_parts(bits: np.uint64, parts: int) -> list[np.uint64]:
+    """The set bits of a mask, dealt to ``parts`` masks of nearly equal size, runs of neighbouring bits."""
+    places = [k for k in range(64) if int(bits) >> k & 1]
+    cuts = [len(places) * k // parts for k in range(parts + 1)]
+    return [np.uint64(sum(1 << k for k in places[a:b])) for a, b in zip(cuts, cuts[1:])]
+
+
+def equal_groups(keys: np.ndarray) -> list[np.ndarray]:
+    """The places of equal keys, for each key that is there twice or more."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order])) + 1
+    return [x for x in np.split(order, cuts) if len(x) > 1]
+
+
+def part_forest(points: np.ndarray, part: np.uint64, distance: int, block: int = 1024) -> list[tuple[int, int]]:
+    """Spanning forest of the links, within ``distance``, between points whose bits of the mask ``part`` are equal.
+
+    Groups of more than ``block`` equal ones are cut again by ``distance`` + 1 parts of their other bits, of which linked
+    points have one in common; unless a part would leave over half of a group together, as in groups of near copies.
+    """
+    label, members, edges = np.arange(len(points)), {}, []
+    stack = [(at, ~part) for at in equal_groups(points & part)]
+    while stack:
+        at, free = stack.pop()
+        if len(at) > block and int(free).bit_count() > distance:
+            cut = [(at[g], free & ~mask) for mask in bit_parts(free, distance + 1) for g in equal_groups(points[at] & mask)]
+            if all(2 * len(g) <= len(at) for g, _ in cut):
+                stack += cut
+                continue
+        own = points[at]
+        for k in range(0, len(at), 64):
+            i, j = np.nonzero(np.bitwise_count(own[k : k + 64, None] ^ own[k:]) <= distance)
+            one, two = at[k:][i], at[k:][j]
+            new = (i < j) & (label[one] != label[two])
+            for a, b in zip(one[new].tolist(), two[new].tolist()):
+                x, y = int(label[a]), int(label[b])
+                if x != y:
+                    edges.append((a, b))
+                    few, many = sorted((members.pop(x, [x]), members.pop(y, [y])), key=len)
+                    label[few] = label[many[0]]
+                    members[int(label[many[0]])] = many
+                    many += few
+    return edges
+
+
+def part_links(nodes: DataFrame, distance: int = NEAR, sample: int = 32_768, leaf: int = 16_384) -> DataFrame:
+    """(a, b): forests of the links between the different fingerprints of ``nodes`` (fp), for radii at which no tree over all bits prunes.
+
+    Of ``distance`` + 1 parts of the bits, linked fingerprints have one in common. Each part has a vantage-point tree over
+    the fingerprints' bits in it, fitted on about ``sample`` of them, in which a ball has radius zero; so a fingerprint
+    goes to one leaf a part, and rows are in proportion to ``nodes``. Leaves have about ``leaf`` fingerprints, or more
+    that are equal in the part. No link is lost; forests of several leaves may tell one.
+    """
+    count = nodes.count()
+    few = about(nodes.select("fp"), sample, count).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    parts = bit_parts(~np.uint64(0), distance + 1)
+    trees = [fit_tree(few & part, max(1, -(-count // leaf)), 0, 1) for part in parts]
+
+    def deal(frames):
+        for frame in frames:
+            points = frame["fp"].to_numpy(np.int64).view(np.uint64)
+            for k, (part, tree) in enumerate(zip(parts, trees)):
+                at, where, _ = route(tree, points & part, np.ones(len(points), bool), 0)
+                yield pd.DataFrame({"part": k, "leaf": where, "fp": points[at].view(np.int64)})
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        points = frame["fp"].to_numpy(np.int64)
+        edges = part_forest(points.view(np.uint64), parts[int(frame["part"].iloc[0])], distance)
+        a, b = points[np.array(edges, np.int64).reshape(-1, 2)].T
+        return pd.DataFrame({"a": a, "b": b})
+
+    rows = nodes.select("fp").mapInPandas(deal, "part int, leaf long, fp long")
+    return rows.groupBy("part", "leaf").applyInPandas(links, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_pairs(nodes: DataFrame, distance: int = NEAR, **options) -> DataFrame:
-    """(a, b): candidates among ``nodes`` (fp, print), fewer than two for each: those of one SimHash with the least of them, and the least ones of SimHashes that the trees link."""
+    """(a, b): candidates among ``nodes`` (fp, print): those of one SimHash with the least of them, and the least ones of SimHashes that :func:`part_links` links."""
     prints = stored(nodes.groupBy("print").agg(F.min("fp").alias("r")), "prints")
     alike = nodes.join(prints, "print").where("fp <> r").select(F.col("r").alias("a"), F.col("fp").alias("b"))
-    edges = tree_links(prints.select(F.col("print").alias("fp")), distance, **options)
+    edges = part_links(prints.select(F.col("print").alias("fp")), distance, **options)
     one, two = (prints.select(F.col("print").alias(x), F.col("r").alias(f"r{x}")) for x in "ab")
     return alike.unionByName(edges.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    """(fp, root) of the edges (a, b), a stored table."""
+    return stored(connected_components(edges, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"}), "components")
+
+
 def similar_roots(nodes: DataFrame, sets_of, similarity: float, bucket: int = BUCKET, **options) -> DataFrame:
     """(fp, root) for each of ``nodes`` (fp, print, keys): components of the pairs that have ``similarity`` or more.
 
-    ``sets_of`` gives the sets (fp, set binary) of a table of fp. First come the links of the vantage-point trees over the
-    SimHashes ``print``, see :func:`near_pairs`, verified on the sets. Then the rest, pairs that share a key: each node is
-    held against the least of its buckets, if the trees left the two apart; and, in buckets that still hold several
-    components, each node outside the largest is held against all others, ``bucket`` by ``bucket`` nodes in a task. So no
-    pair of a bucket that could join two components is left out; but what is shuffled are nodes, once for each such
-    block, and what comes out are the links of a forest.
+    ``sets_of`` gives the sets (fp, set binary) of a table of fp. Verified on the sets are first the links of the
+    vantage-point trees over the SimHashes ``print``, see :func:`near_pairs`, and, of the pairs that share a key, those of
+    each node with the least of its buckets. Then, in buckets that still hold several components, each node outside the
+    largest is held against all others, ``bucket`` by ``bucket`` nodes in a task. So no pair of a bucket that could join
+    two components is left out; but what is shuffled are nodes, once for each such block, and what comes out are the
+    links of a forest, whose components are found over those of the first links.
     """
     near = stored(near_pairs(nodes.select("fp", "print"), **options), "near")
     buckets = nodes.select("fp", F.explode("keys").alias("key"))
@@ -485,15 +566,8 @@ def similar_roots(nodes: DataFrame, sets_of, similarity: float, bucket: int = BU
     wanted = shared.select("fp").union(near.select("a")).union(near.select("b")).distinct()
     sets = stored(sets_of(wanted), "sets")
     one, two = sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("set").alias("sb"))
-    verified = lambda pairs: pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(similarity), "a long, b long")
-    linked = stored(verified(near), "linked")
-    joined = stored(connected_components(linked, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"}), "components")
-    pairs = shared.where("fp <> r").select(F.col("r").alias("a"), F.col("fp").alias("b")).distinct()
-    for x in "ab":
-        pairs = pairs.join(joined.select(F.col("fp").alias(x), F.col("root").alias(f"r{x}")), x, "left")
-    apart = pairs.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    first = linked.union(stored(verified(apart), "similar"))
-    joined = stored(connected_components(first, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"}), "components")
+    pairs = near.union(shared.where("fp <> r").select("r", "fp")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    joined = _roots(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(similarity), "a long, b long"))
     parts = shared.join(joined, "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
     sizes = parts.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "root")).alias("most"))
     mixed = stored(parts.join(sizes.where("parts > 1").select("key", "most"), "key").select("key", "fp", "root", "n", (F.col("n") - F.col("most.m")).alias("outside"), (F.col("root") != F.col("most.root")).alias("out")), "mixed")
@@ -504,13 +578,14 @@ def similar_roots(nodes: DataFrame, sets_of, similarity: float, bucket: int = BU
     probes = mixed.where("out").select("key", "fp", "root", F.lit(True).alias("probe"), own("outside").alias("j"), every("n").alias("i"))
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.array(bucket_forest(frame, similarity), np.int64).reshape(-1, 2).T
+        root = dict(zip(frame["fp"].tolist(), frame["root"].tolist()))
+        a, b = np.array([(root[x], root[y]) for x, y in bucket_forest(frame, similarity)], np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": a, "b": b})
 
     across = base.unionByName(probes).join(sets, "fp").groupBy("key", "j", "i").applyInPandas(links, "a long, b long").distinct()
-    edges = first.union(stored(across, "across"))
-    joined = stored(connected_components(edges, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"}), "components")
-    return nodes.select("fp").join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    above = _roots(across).select(F.col("fp").alias("root"), F.col("root").alias("top"))
+    found = nodes.select("fp").join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return found.join(above, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
 #: Keys that are broadcast to pick rows by them; of more, the rows are joined.

@@ -230,6 +230,41 @@ def test_near_copies_by_vantage_point_trees(spark):
         assert sorted(map(tuple, roots.collect())) == list(enumerate(want))
 
 
+def test_near_pairs_make_rows_in_proportion(spark, monkeypatch):
+    rng, made, kind = np.random.default_rng(8), [], type(spark.range(1))
+    plain = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda *args: made.append(plain(*args)) or made[-1])
+    counts = []
+    for n in (2000, 10_000):
+        made.clear()
+        nodes = spark.createDataFrame(pd.DataFrame({"fp": np.arange(n), "print": rng.integers(-(1 << 62), 1 << 62, n)}))
+        simhash.near_pairs(nodes, leaf=500).count()
+        counts.append(made[0].count())
+    assert counts == [7 * 2000, 7 * 10_000]
+
+
+def test_parts_of_fingerprints_lose_no_link():
+    rng = np.random.default_rng(9)
+    flips = lambda n, most: np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, most + 1), replace=False)) for _ in range(n)], np.uint64)
+    points = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
+    points = np.unique(np.concatenate([points, points[:500] ^ flips(500, 6), points[7] ^ flips(300, 3)]))
+    parts = simhash.bit_parts(~np.uint64(0), 7)
+    assert sum(int(x) for x in parts) == (1 << 64) - 1
+    for block in (1024, 16, 2):
+        forest, plain = simhash.Forest(len(points)), simhash.Forest(len(points))
+        for part in parts:
+            links = simhash.part_forest(points, part, 6, block)
+            assert len(links) < len(points)
+            for a, b in links:
+                assert (int(points[a]) ^ int(points[b])).bit_count() <= 6
+                forest.link(a, b)
+        for a in range(len(points)):
+            for b in np.flatnonzero(np.bitwise_count(points ^ points[a]) <= 6).tolist():
+                plain.link(a, b)
+        assert [forest.root(k) for k in range(len(points))] == [plain.root(k) for k in range(len(points))]
+        assert 1900 < len({plain.root(k) for k in range(len(points))}) < 2100
+
+
 def test_bucket_forest_joins_what_is_similar():
     rng = np.random.default_rng(4)
     words = rng.integers(1, 1 << 60, 400).astype(np.uint64)
