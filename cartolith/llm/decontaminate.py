@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import beyond_latin, binary_rows, col, fresh, latin_runs, map_arrow, map_blocks, new_folder, quoted, scratch, spans, stored
+from .common import beyond_latin, binary_rows, col, fresh, latin_runs, map_arrow, map_blocks, new_folder, quoted, scratch, spans, stored, utf8
 
 ALNUM = re.compile(r"[^\W_]+")
 #: By code point below U+0100, whether a character is one of words.
@@ -46,11 +46,42 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in ALNUM.findall(text.lower())] if text else [], np.uint32)
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC_TABLE = _crc_table()
+#: Bytes of a word up to which its CRC-32 is taken along with those of others.
+SHORT = 64
+
+
+def crc32s(words: pa.Array) -> np.ndarray:
+    """CRC-32 of each word's bytes; all ``SHORT`` words take a byte a step, the longest ones first, so that a step's words are a slice."""
+    offsets, data = utf8(words)
+    size = np.diff(offsets)
+    long = np.flatnonzero(size > SHORT)
+    size[long] = 0
+    order = np.argsort(-size, kind="stable")
+    at = offsets[:-1][order]
+    longer = len(size) - np.cumsum(np.bincount(size))  # by k, words of more than k bytes
+    crc = np.full(len(size), 0xFFFFFFFF, np.uint32)
+    for k, n in enumerate(longer[:-1].tolist()):
+        crc[:n] = CRC_TABLE[(crc[:n] ^ data[at[:n] + k]) & 0xFF] ^ crc[:n] >> np.uint32(8)
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    for k in long.tolist():
+        out[k] = crc32(data[offsets[k] : offsets[k + 1]])
+    return out
+
+
 def all_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """:func:`word_hashes` of many texts: those of text i are hashes[begin[i] : begin[i + 1]]."""
     odd = beyond_latin(texts)
     codes, begin, words = latin_runs(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, IN_WORD)
-    hashes = np.array([*map(crc32, words.cast(pa.binary()).to_pylist())], np.uint32)[codes]
+    hashes = crc32s(words)[codes]
     if odd.any():
         other = iter(texts.filter(pa.array(odd)).to_pylist())
         each = [word_hashes(next(other)) if o else hashes[a:b] for o, a, b in zip(odd, begin[:-1], begin[1:])]

@@ -544,6 +544,20 @@ def test_the_latent_space_is_made_of_all_passages(spark, monkeypatch):
     assert np.abs(got @ got.T - want @ want.T).max() < 0.02 * np.abs(want @ want.T).max()
 
 
+def test_word_hashes_are_taken_without_a_call_a_word(monkeypatch):
+    words = ["", "a", "bc", "été", "ß" * 40, "x" * 1000, *(f"w{k}" * (k % 7) for k in range(500))]
+    for few in ([], [""], words):
+        made = decontaminate.crc32s(pa.array(few, pa.string()))
+        assert made.dtype == np.uint32 and made.tolist() == [crc32(w.encode()) for w in few]
+    assert decontaminate.crc32s(pa.array(words)[3:6]).tolist() == [crc32(w.encode()) for w in words[3:6]]
+    texts = [prose(k, 60) for k in range(5)] + [None, "", " ", "Été à ß, 12_3 x"]
+    want = [decontaminate.word_hashes(x).tolist() for x in texts]
+    calls = []
+    monkeypatch.setattr(decontaminate, "crc32", lambda x: calls.append(x) or crc32(x))
+    hashes, begin = decontaminate.all_hashes(pa.array(texts))
+    assert [hashes[a:b].tolist() for a, b in zip(begin, begin[1:])] == want and not calls
+
+
 def test_products_are_those_of_the_matrix():
     rng = np.random.default_rng(6)
     sizes = rng.integers(1, 49, 600)
