@@ -34,3 +34,9 @@ def same(spark, folder, name, tables=("events",)):
 def test_words_above_their_range_are_data(spark, tmp_path):
     got = same(spark, write_events(tmp_path, np.array([0.0, 0.15, 0.16, 655.35, 655.36, 791.25])), "decode_int16")
     assert got.sort_values("event_id")["value"].isna().tolist() == [True, True, False, False, False, False]
+
+
+def test_differences_of_numbers_beyond_16_bits(spark, tmp_path):
+    values = np.where(np.arange(200) % 3 == 1, 791.25, np.arange(200) / 4)
+    got = same(spark, write_events(tmp_path, values, ["click"] * 200), "predictor2_uint16")
+    assert got["delta"].min() < 0
