@@ -40,3 +40,11 @@ def test_differences_of_numbers_beyond_16_bits(spark, tmp_path):
     values = np.where(np.arange(200) % 3 == 1, 791.25, np.arange(200) / 4)
     got = same(spark, write_events(tmp_path, values, ["click"] * 200), "predictor2_uint16")
     assert got["delta"].min() < 0
+
+
+def test_levels_of_a_tall_image(spark, tmp_path):
+    """A vector far down makes the image so tall that it has a level more than the SQL spells out."""
+    vectors = [np.arange(64, dtype=np.float32) / 8 + k for k in range(3)]
+    pd.DataFrame({"vec_id": np.array([0, 1, 65_600]), "embedding": vectors}).to_parquet(tmp_path / "embeddings.parquet", index=False)
+    got = same(spark, str(tmp_path), "pyramid_levels", ["embeddings"])
+    assert sorted(got["level"].unique()) == list(range(13))
