@@ -48,3 +48,8 @@ def test_levels_of_a_tall_image(spark, tmp_path):
     pd.DataFrame({"vec_id": np.array([0, 1, 65_600]), "embedding": vectors}).to_parquet(tmp_path / "embeddings.parquet", index=False)
     got = same(spark, str(tmp_path), "pyramid_levels", ["embeddings"])
     assert sorted(got["level"].unique()) == list(range(13))
+
+
+@pytest.mark.parametrize("lines", [80, 6000])
+def test_places_on_edges_of_lines(spark, tmp_path, lines):
+    same(spark, write_events(tmp_path, np.arange(lines * 100) / 4), "reproject_sinusoidal")
