@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from cartolith.operators import values as values_of
 from cartolith.queries import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
@@ -53,3 +54,23 @@ def test_levels_of_a_tall_image(spark, tmp_path):
 @pytest.mark.parametrize("lines", [80, 6000])
 def test_places_on_edges_of_lines(spark, tmp_path, lines):
     same(spark, write_events(tmp_path, np.arange(lines * 100) / 4), "reproject_sinusoidal")
+
+
+@pytest.mark.parametrize("name", ["stretch_limits_auto", "stretch_auto", "stretch_minmax", "geotiff_stretched"])
+def test_stretches_by_all_pixels(spark, tmp_path, name):
+    """More lines than the 1,024 of a sample, the extremes on lines that it left out."""
+    values = np.random.default_rng(5).exponential(50, 150_000).round(2)
+    values[201:205] = 0.001, 5000, 6000, 7000  # on line 2; lines 0, 2 and 3 were not all read
+    values[301:305] = 0.002, 8000, 9000, 0.003
+    same(spark, write_events(tmp_path, values), name)
+
+
+def test_ranks_of_bands(spark):
+    """Bands of one value, of none, of ends of the doubles, against a sort of all values."""
+    bands = {1: [4.0], 2: [None, None], 3: [-1e308, 1e308, -5e-324, 5e-324, -0.0, 0.0, float("inf"), float("nan")], 4: [float(k * 37 % 1009) for k in range(1009)] + [None] * 9, 5: [7.0] * 500 + [8.0] * 2}
+    table = spark.createDataFrame([(b, v) for b, vs in bands.items() for v in vs], "band int, value double").repartition(5)
+    got = {r["band"]: (r["lo"], r["hi"]) for r in values_of.stretch_limits(table, 1, 1).collect()}
+    for band, vs in bands.items():
+        ranks = sorted((v for v in vs if v is not None), key=lambda v: (v != v, v))
+        want = (ranks[int(0.5 / 100 * (len(ranks) - 1))], ranks[int(99.5 / 100 * (len(ranks) - 1))]) if ranks else (0.0, 1.0)
+        assert got[band] == want
