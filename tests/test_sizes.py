@@ -74,3 +74,22 @@ def test_ranks_of_bands(spark):
         ranks = sorted((v for v in vs if v is not None), key=lambda v: (v != v, v))
         want = (ranks[int(0.5 / 100 * (len(ranks) - 1))], ranks[int(99.5 / 100 * (len(ranks) - 1))]) if ranks else (0.0, 1.0)
         assert got[band] == want
+
+
+@pytest.mark.parametrize("name", ["warp_bilinear", "warp_bilinear_wrapped", "warp_cubic", "warp_cubic_wrapped"])
+def test_a_position_is_joined_once(spark, tmp_path, name):
+    """Over edges of blocks on all sides, gaps included; the plan has no row for each position and neighbour."""
+    keep = np.delete(np.arange(14_000), [0, 99, 6_400, 6_463, 6_464, 6_465, 12_900])
+    folder = write_events(tmp_path, np.random.default_rng(3).exponential(50, len(keep)).round(2), ids=keep)
+    same(spark, folder, name)
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Aggregate" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_rounding_near_ties(spark):
+    from cartolith.queries import rounded
+
+    ties = [64.2374565, 0.0000005, -1.0000015, 2.5, *(k + 0.1234565 for k in range(200))]
+    with duckdb.connect() as db:
+        want = [db.sql(f"select round({x!r}::double, 6)").fetchall()[0][0] for x in ties]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in ties], "x double").select(rounded("x", 6)).collect()] == want
