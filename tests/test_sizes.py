@@ -93,3 +93,25 @@ def test_rounding_near_ties(spark):
     with duckdb.connect() as db:
         want = [db.sql(f"select round({x!r}::double, 6)").fetchall()[0][0] for x in ties]
     assert [r[0] for r in spark.createDataFrame([(x,) for x in ties], "x double").select(rounded("x", 6)).collect()] == want
+
+
+def test_cubes_of_events_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """Of two chunks of events and one without, no pixels come to the driver, and lines without events have no data."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    folder = write_events(tmp_path, np.arange(1100) / 4, ids=np.r_[0:1000, 250_000:250_100])
+
+    def refused(*_, **__):
+        raise AssertionError("rows came to the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toLocalIterator", refused)
+        scan = QUERIES["isis_scan"](spark, folder)
+    got = scan.where("value is not null").toPandas()
+    kept = np.flatnonzero(np.arange(1100) % 11 != 5)
+    where = np.where(kept < 1000, kept, kept + 249_000)
+    assert scan.count() == 2 * 250_100
+    for band in (1, 2):
+        one = got[got["band"] == band].sort_values(["line", "sample"])
+        assert (one["line"] * 100 + one["sample"]).tolist() == where.tolist()
+        assert one["value"].tolist() == (kept / 4 * band).tolist()
