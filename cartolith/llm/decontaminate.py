@@ -403,17 +403,23 @@ class Searcher:
         for (n, step), (item, start, vectors) in self.scales.items():
             if n % BLOCK or step % BLOCK:
                 doc, nth, at, latent = self._blocks(row, begin, n, step)
+                use, stop, more = np.arange(len(at)), None, 0
             else:
                 grid = grid or self._blocks(row, begin, BLOCK, BLOCK)
                 doc, nth, at, latent = grid
-                latent = latent.copy()
-                for j in range(1, n // BLOCK):
-                    same = doc[j:] == doc[:-j]
-                    latent[:-j] += grid[3][j:] * same[:, None]
-                use = slice(None) if step == BLOCK else np.flatnonzero(nth % (step // BLOCK) == 0)
-                doc, at, latent = doc[use], at[use], latent[use]
+                use, stop, more = np.flatnonzero(nth % (step // BLOCK) == 0), np.searchsorted(doc, doc, "right"), n // BLOCK - 1
+                doc, at, stop = doc[use], at[use], stop[use]
+            buffer = np.empty((min(most, len(at)), vectors.shape[1]), np.float32)
             for k in range(0, len(at), most):
-                close = unit(latent[k : k + most]) @ vectors
+                few = use[k : k + most]
+                whole = latent[few]
+                for j in range(1, more + 1):  # the blocks after a window's first, where its document has them
+                    inside = few + j < stop[k : k + most]
+                    if inside.all():
+                        whole += latent[few + j]
+                    else:
+                        whole[inside] += latent[few[inside] + j]
+                close = np.matmul(unit(whole), vectors, out=buffer[: len(few)])
                 some = np.flatnonzero(close.max(axis=1) >= self.s.cosine)
                 if len(some):
                     i, j = np.nonzero(close[some] >= self.s.cosine)
