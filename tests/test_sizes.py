@@ -115,3 +115,19 @@ def test_cubes_of_events_are_written_by_tasks(spark, tmp_path, monkeypatch):
         one = got[got["band"] == band].sort_values(["line", "sample"])
         assert (one["line"] * 100 + one["sample"]).tolist() == where.tolist()
         assert one["value"].tolist() == (kept / 4 * band).tolist()
+
+
+@pytest.mark.parametrize("name", ["isis_scan", "cube_info", "geotiff_copy", "geotiff_interleaved", "geotiff_tags", "geotiff_normalized", "geotiff_warped", "geotiff_georeference", "normalized_label"])
+def test_files_in_stores_are_written_by_tasks(spark, tmp_path, monkeypatch, name):
+    """Where a file has an address and is written front to back, neither lines nor tiles come to the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from cartolith import queries
+
+    def refused(*_, **__):
+        raise AssertionError("rows came to the driver")
+
+    folder = write_events(tmp_path, np.random.default_rng(7).integers(0, 2000, 110_000) / 4)
+    monkeypatch.setattr(queries, "plain", lambda address: address)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    same(spark, folder, name)
