@@ -131,3 +131,40 @@ def test_files_in_stores_are_written_by_tasks(spark, tmp_path, monkeypatch, name
     monkeypatch.setattr(queries, "plain", lambda address: address)
     monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
     same(spark, folder, name)
+
+
+@pytest.mark.parametrize("name, tasks", [("geotiff_copy", 4), ("geotiff_interleaved", 3)])
+def test_tasks_read_many_rows_of_tiles(spark, tmp_path, name, tasks):
+    """Tasks, whose results the driver gets, are as many as a million samples ask for, not as the 157 or 313 rows of tiles."""
+    folder = write_events(tmp_path, np.random.default_rng(9).integers(0, 2000, 1_000_000) / 4)
+    assert QUERIES[name](spark, folder).rdd.getNumPartitions() == tasks
+
+
+@pytest.mark.parametrize("share", [1, 4 * 16 * 48, 1 << 20])
+@pytest.mark.parametrize("more", [{}, {"interleave": True}, {"overviews": True}])
+def test_rows_of_tiles_are_read_once(spark, tmp_path, monkeypatch, share, more):
+    """Runs of rows of tiles that end within and at a plane's end hold each sample once, with few of the offsets each."""
+    from cartolith.plans.convert import execute, plan_conversion
+    from cartolith.plans.options import Options
+    from cartolith.queries import write_cube
+    from cartolith.sources import geotiff
+
+    bands = [np.arange(75 * 40).reshape(75, 40) + 10_000.0 * b for b in range(2)]
+    cube = write_cube(str(tmp_path / "c.cub"), bands, "float64")
+    path = execute(spark, plan_conversion(cube, Options(output=str(tmp_path / "o.tif"), tile=16, **more)))
+    monkeypatch.setattr(geotiff, "SHARE", share)
+    reader = geotiff.GeoTiffReader({"path": path})
+    parts = reader.partitions()
+    whole = geotiff.directories(path)
+    assert sum(len(p.offsets) for p in parts) == sum(len(tags[geotiff.OFFSETS]) for tags in whole)
+    rows = pd.concat([b.to_pandas() for p in parts for b in reader.read(p)])
+    assert not rows.duplicated(["level", "band", "line", "sample"]).any()
+    assert len(rows) == sum(2 * tags[geotiff.WIDTH][0] * tags[geotiff.HEIGHT][0] for tags in whole)
+    first = rows[rows["level"] == 0]
+    for k, band in enumerate(bands):
+        one = first[first["band"] == k + 1]
+        assert (band[one["line"], one["sample"]] == one["value"]).all()
+    short = [tags | {geotiff.OFFSETS: tags[geotiff.OFFSETS][:-1]} for tags in whole]
+    monkeypatch.setattr(geotiff, "directories", lambda path: short)
+    with pytest.raises(geotiff.TiffError, match="tiles"):
+        reader.partitions()
