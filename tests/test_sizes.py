@@ -133,7 +133,7 @@ def test_files_in_stores_are_written_by_tasks(spark, tmp_path, monkeypatch, name
     same(spark, folder, name)
 
 
-@pytest.mark.parametrize("name, tasks", [("geotiff_copy", 4), ("geotiff_interleaved", 3)])
+@pytest.mark.parametrize("name, tasks", [("geotiff_copy", 4), ("geotiff_interleaved", 3), ("geotiff_normalized", 4)])
 def test_tasks_read_many_rows_of_tiles(spark, tmp_path, name, tasks):
     """Tasks, whose results the driver gets, are as many as a million samples ask for, not as the 157 or 313 rows of tiles."""
     folder = write_events(tmp_path, np.random.default_rng(9).integers(0, 2000, 1_000_000) / 4)
