@@ -1,5 +1,7 @@
 """Queries against their DuckDB SQL on tables that differ from the driver's small ones: more lines, larger numbers, gaps."""
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -168,3 +170,28 @@ def test_rows_of_tiles_are_read_once(spark, tmp_path, monkeypatch, share, more):
     monkeypatch.setattr(geotiff, "directories", lambda path: short)
     with pytest.raises(geotiff.TiffError, match="tiles"):
         reader.partitions()
+
+
+def sent(spark, run):
+    """Bytes of task results that the driver gets while ``run`` runs."""
+    sc, group = spark.sparkContext, f"sent-{uuid.uuid4().hex}"
+    sc.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sum(store.lastStageAttempt(s).resultSize() for s in stages)
+
+
+@pytest.mark.parametrize("name", ["isis_scan"])
+def test_bytes_to_the_driver_do_not_follow_events(spark, tmp_path, name):
+    """Of ten times the events the driver gets some more tasks' results, not the 24 bytes an event that lines through it took."""
+    told = []
+    for n in (50_000, 500_000):
+        (folder := tmp_path / str(n)).mkdir()
+        path = write_events(folder, np.random.default_rng(n).integers(0, 2000, n) / 4)
+        told.append(sent(spark, lambda: QUERIES[name](spark, path).write.format("noop").mode("overwrite").save()))
+    assert 0 < told[0] and told[1] - told[0] < 450_000, told
