@@ -186,7 +186,7 @@ def sent(spark, run):
     return sum(store.lastStageAttempt(s).resultSize() for s in stages)
 
 
-@pytest.mark.parametrize("name", ["isis_scan", "cube_info", "geotiff_warped"])
+@pytest.mark.parametrize("name", ["isis_scan", "cube_info", "geotiff_warped", "geotiff_georeference"])
 def test_bytes_to_the_driver_do_not_follow_events(spark, tmp_path, name):
     """Of ten times the events the driver gets some more tasks' results, not the 24 bytes an event that lines through it took."""
     told = []
